@@ -43,7 +43,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, share:
     sql = canonical("text")
     slotted = lambda df, key, name: df.select(key, F.expr(sql["__raw"]).alias("__raw")).select(key, "__raw", F.expr(sql["__words"]).alias("__words")).select(key, F.expr("transform(arrays_zip(__raw, __words), z -> case when startswith(z.__words, '<') then z.__raw end)").alias(name))
     both = found.join(slotted(docs, "doc_id", "dslots"), "doc_id").join(slotted(benchmark, "item_id", "islots"), "item_id")
-    lined = F.expr("filter(arrays_zip(slice(dslots, pos + 1, size(dslots)) as d, slice(islots, ipos + 1, size(islots)) as i), z -> z.d is not null and z.i is not null)")
+    lined = F.expr("filter(zip_with(slice(dslots, pos + 1, size(islots)), slice(islots, ipos + 1, size(islots)), (d, i) -> named_struct('d', d, 'i', i)), z -> z.d is not null and z.i is not null)")
     both = both.withColumn("pairs", F.array_distinct(lined))
     both = both.withColumn("slots", F.expr("size(array_distinct(transform(pairs, z -> z.i)))"))
     both = both.withColumn("consistency", F.expr("case when size(pairs) = 0 then 1.0d else double(slots) / size(pairs) end"))
