@@ -69,7 +69,7 @@ def signature(elements: np.ndarray, m: int, block: int = 8192) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n, key of the set, and for the first text of a set in a batch its shingles and band hashes."""
+    """doc_id, n, key of the set, and for the first text of a set in a batch its band hashes."""
     def run(batches):
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
@@ -78,7 +78,7 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 for doc_id, text in zip(part["doc_id"], part["text"]):
                     text = text or ""
                     if text in seen:
-                        out.append((doc_id, *seen[text], None, None))
+                        out.append((doc_id, *seen[text], None))
                         continue
                     s = shingles(text, k)
                     key = hashlib.md5(s.tobytes()).hexdigest() if len(s) else None
@@ -87,9 +87,19 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     if len(s):
                         sig = signature(s, bands * rows)
                         band = [xxhash.xxh64_intdigest(sig[b * rows:(b + 1) * rows].tobytes(), seed=b) - 2**63 for b in range(bands)]
-                    out.append((doc_id, len(s), key, s.view("i8").tolist() if len(s) else None, band))
-                yield pd.DataFrame(out, columns=["doc_id", "n", "key", "shingles", "bands"]).astype({"doc_id": "Int64"})
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key string, shingles array<long>, bands array<long>")
+                    out.append((doc_id, len(s), key, band))
+                yield pd.DataFrame(out, columns=["doc_id", "n", "key", "bands"]).astype({"doc_id": "Int64"})
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key string, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """rep, shingles of each row."""
+    def run(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 500):
+                part = pdf.iloc[lo:lo + 500]
+                yield pd.DataFrame({"rep": part["doc_id"], "shingles": [shingles(x or "", k).view("i8").tolist() for x in part["text"]]})
+    return docs.select("doc_id", "text").mapInPandas(run, "rep long, shingles array<long>")
 
 
 def components(links: DataFrame, most: int = 50) -> DataFrame:
@@ -115,21 +125,20 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, leaders: int = 4, most: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document.
 
-    Equal sets form a class first; classes meet in band buckets, each against its bucket's leaders (smallest, largest
-    and ``leaders`` others by hash, so no bucket makes all pairs); links are confirmed on full sets. Further rounds
-    take other leaders in buckets that still span several components, until one finds no link.
+    Equal sets form a class first; classes meet in band buckets, each against its bucket's smallest doc_id, so no bucket
+    makes all pairs; links are confirmed on full sets. Further rounds take ``leaders`` others by hash in buckets that
+    still span several components, until one finds no link. Only texts in candidate pairs have their sets written.
     Null, empty and blank texts have no shingles and link with nothing; repeated rows link with themselves and stay;
     rows with a null doc_id stay with a null component; an empty table gives an empty result; other columns are ignored.
     """
     table = written(signed(docs, k, bands, rows), "signed")
     classes = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    sets = written(table.where("shingles is not null").join(classes, "key").where("doc_id = rep").dropDuplicates(["doc_id"]).select("rep", "n", "shingles", "bands"), "sets")
-    members = sets.select("rep", "n", F.explode("bands").alias("band"))
+    reps = table.where("bands is not null").join(classes, "key").where("doc_id = rep").select("rep", "n", "bands").dropDuplicates(["rep"])
+    members = written(reps, "members").select("rep", "n", F.explode("bands").alias("band"))
     links, comp = None, None
     for turn in range(most):
         inside = members if comp is None else members.join(comp, members["rep"] == comp["id"], "left").select("rep", "n", "band", F.coalesce("component", "rep").alias("component"))
-        picks = [F.min(F.struct("rep", "n")), F.max(F.struct("rep", "n"))] if turn == 0 else []
-        picks += [F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(turn * leaders + s))) for s in range(leaders)]
+        picks = [F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(turn * leaders + s))) for s in range(leaders)] if turn else [F.min(F.struct("rep", "n"))]
         several = F.count("*") if comp is None else F.max("component") - F.min("component") + 1
         lead = inside.groupBy("band").agg(several.alias("several"), F.array_distinct(F.array(*picks)).alias("leads")).where("several > 1").drop("several")
         pairs = inside.join(lead, "band").select("rep", "n", F.explode("leads").alias("lead"))
@@ -138,9 +147,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         if comp is not None:
             label = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
             pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
+        pairs = written(pairs, "pairs")
+        if turn and pairs.isEmpty():
+            break
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k), "sets")
         full = lambda c: sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}"))
-        checked = pairs.join(full("a"), "a").join(full("b"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-        found = written(checked.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b"), "links")
+        checked = pairs.join(full("b"), "b").join(full("a"), "a").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+        found = written(checked.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct(), "links")
         if turn and found.isEmpty():
             break
         links = found if links is None else links.union(found)
