@@ -122,12 +122,25 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, leaders: int = 4, most: int = 5) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of pairs(a, b), a written table, whose full sets are near enough; only their texts have sets written."""
+    if pairs.isEmpty():
+        return pairs
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k), "sets")
+    full = lambda c: sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}"))
+    checked = pairs.join(full("b"), "b").join(full("a"), "a").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return written(checked.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct(), "links")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, growth: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document.
 
-    Equal sets form a class first; classes meet in band buckets, each against its bucket's smallest doc_id, so no bucket
-    makes all pairs; links are confirmed on full sets. Further rounds take ``leaders`` others by hash in buckets that
-    still span several components, until one finds no link. Only texts in candidate pairs have their sets written.
+    Equal sets form a class first; classes meet in band buckets. In the first round each meets its bucket's smallest
+    doc_id; links are confirmed on full sets and joined into components. Later rounds open only buckets that still span
+    several components: a hash deals every member a place below the bucket's size, and those with places below 4,
+    4 * growth, ... in turn meet all members of other components. A bucket is left once it spans one component or all its
+    places have had their turn, so no pair that shares a bucket goes unseen, and only pairs across components are made.
     Null, empty and blank texts have no shingles and link with nothing; repeated rows link with themselves and stay;
     rows with a null doc_id stay with a null component; an empty table gives an empty result; other columns are ignored.
     """
@@ -135,30 +148,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = table.where("bands is not null").join(classes, "key").where("doc_id = rep").select("rep", "n", "bands").dropDuplicates(["rep"])
     members = written(reps, "members").select("rep", "n", F.explode("bands").alias("band"))
-    links, comp = None, None
-    for turn in range(most):
-        inside = members if comp is None else members.join(comp, members["rep"] == comp["id"], "left").select("rep", "n", "band", F.coalesce("component", "rep").alias("component"))
-        picks = [F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(turn * leaders + s))) for s in range(leaders)] if turn else [F.min(F.struct("rep", "n"))]
-        several = F.count("*") if comp is None else F.max("component") - F.min("component") + 1
-        lead = inside.groupBy("band").agg(several.alias("several"), F.array_distinct(F.array(*picks)).alias("leads")).where("several > 1").drop("several")
-        pairs = inside.join(lead, "band").select("rep", "n", F.explode("leads").alias("lead"))
-        pairs = pairs.where("rep != lead.rep and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
-        pairs = pairs.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
-        if comp is not None:
-            label = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-            pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
-        pairs = written(pairs, "pairs")
-        if turn and pairs.isEmpty():
+    buckets = written(members.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("lead")).where("size > 1"), "buckets")
+    near = "100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent
+    pair = (F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
+    pairs = written(members.join(buckets, "band").where("rep != lead.rep and " + near).select(*pair).distinct(), "pairs")
+    seen, links = pairs, confirmed(docs, pairs, k, percent)
+    comp = components(links)
+    members = members.join(buckets.select("band", "size"), "band").withColumn("place", F.pmod(F.xxhash64("rep", "band"), F.col("size")))
+    low, high = 0, 4
+    while True:
+        inside = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        several = inside.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+        inside = written(inside.where(F.col("size") > low).join(several, "band", "left_semi"), "open")
+        if inside.isEmpty():
             break
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k), "sets")
-        full = lambda c: sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}"))
-        checked = pairs.join(full("b"), "b").join(full("a"), "a").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-        found = written(checked.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct(), "links")
-        if turn and found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        comp = components(links)
+        leads = inside.where((F.col("place") >= low) & (F.col("place") < high)).select("band", F.struct("rep", "n", "component").alias("lead"))
+        pairs = inside.join(leads, "band").where("component != lead.component and " + near).select(*pair).distinct()
+        pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        found = confirmed(docs, pairs, k, percent)
+        if not found.isEmpty():
+            links = links.union(found)
+            comp = components(links)
+        seen, members = seen.union(pairs), inside.drop("component")
+        low, high = high, high * growth
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "key").join(classes, "key", "left")
     out = out.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     root = F.coalesce("component", "rep", "doc_id")

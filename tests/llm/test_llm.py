@@ -151,3 +151,23 @@ def test_packing(spark):
         assert g.length.sum() <= 1024 and (g.offset.values == g.length.cumsum().values - g.length.values).all()
     assert out.sequence_id.nunique() <= -(-out.length.sum() // 1024) * 1.03 + 1
     assert zlib.crc32(np.array([2], "<u4").tobytes()) == packing.pieces(spark.createDataFrame([(1, None)], "doc_id long, text string"), vocabulary()).first()["ids_crc32"]
+
+
+def test_links_between_followers(spark):
+    """A common passage puts all texts into shared buckets; links run between texts that are far from every leader."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common, rows = [word() for _ in range(60)], []
+    for _ in range(60):
+        own = [word() for _ in range(25)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join([*common, *own, word()])))
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[j:j + 3]) for j in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                root[i] = min(root[i], root[j])
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == root and len(set(root.values())) == 60
