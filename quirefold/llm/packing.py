@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -138,44 +138,48 @@ def slots(plan: list[list]) -> dict[int, tuple]:
     return {x: tuple(np.array(c, dtype="i8") for c in zip(*rows)) for x, rows in out.items()}
 
 
-def pack(found: DataFrame, room: int = 1024, deals: int = 64) -> DataFrame:
-    """Add sequence_id and offset to pieces; found must be a written table, as it is read twice.
+def pack(found: DataFrame, room: int = 1024, rows_a_deal: int = 1_000_000, spread: int = 64) -> DataFrame:
+    """Add sequence_id and offset to pieces; found must be a written table, as it is read three times.
 
     The plan works on counts of lengths, at most ``room`` of them, so neither the driver nor a task holds the pieces.
-    Pieces of one length are ranked in ``deals`` shares, so a length that a third of the pieces have is split.
+    Pieces of one length are ranked in shares of about ``rows_a_deal``, and in as many of ``spread`` shares as its part
+    of all pieces, so a length that a third of the pieces have is split; the driver gets one row a share.
     """
     spark = found.sparkSession
-    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(deals)).cast("int")
-    dealt = found.withColumn("deal", deal)
-    # At most room * deals rows.
-    tally = dealt.groupBy("length", "deal").count().collect()
-    by = Counter()
-    first = {}
-    for r in sorted(tally, key=lambda r: (r["length"], r["deal"])):
-        first[r["length"], r["deal"]] = by[r["length"]]
-        by[r["length"]] += r["count"]
+    by = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
+    total = sum(by.values())
+    shares = [max(1, -(-by.get(x, 0) // rows_a_deal), -(-spread * by.get(x, 0) // max(total, 1))) for x in range(1, room + 1)]
+    dealt = found.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(F.lit(shares), F.col("length").cast("int"))))
+    first, used = {}, Counter()
+    for r in sorted(dealt.groupBy("length", "deal").count().collect()):
+        first[r["length"], r["deal"]] = used[r["length"]]
+        used[r["length"]] += r["count"]
     plan = spark.sparkContext.broadcast((first, slots(improve(greedy(by, room), room))))
 
-    def run(key, pdf):
+    def run(batches):
         starts, table = plan.value
-        x, d = int(key[0]), int(key[1])
-        rank = starts[x, d] + np.arange(len(pdf))
-        lo, seq, n, offset = table[x]
-        i = np.searchsorted(lo, rank, side="right") - 1
-        inside = rank - lo[i]
-        pdf = pdf.drop(columns="deal")
-        pdf["sequence_id"] = seq[i] + inside // n[i]
-        pdf["offset"] = offset[i] + inside % n[i] * x
-        return pdf.astype({"doc_id": "Int64"})
+        for pdf in batches:
+            x = pdf["length"].to_numpy()
+            rank = pdf["rank"].to_numpy() + np.array([starts[k] for k in zip(x.tolist(), pdf["deal"].tolist())], dtype="i8")
+            sequence, offset = np.empty(len(pdf), "i8"), np.empty(len(pdf), "i8")
+            for length in np.unique(x):
+                at = np.flatnonzero(x == length)
+                lo, seq, n, off = table[int(length)]
+                i = np.searchsorted(lo, rank[at], side="right") - 1
+                inside = rank[at] - lo[i]
+                sequence[at], offset[at] = seq[i] + inside // n[i], off[i] + inside % n[i] * length
+            pdf = pdf.drop(columns=["deal", "rank"])
+            pdf["sequence_id"], pdf["offset"] = sequence, offset
+            yield pdf.astype({"doc_id": "Int64"})
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
-    return dealt.groupBy("length", "deal").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
+    order = Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "ids_crc32")
+    return dealt.withColumn("rank", F.row_number().over(order) - 1).mapInPandas(run, f"{kinds}, sequence_id long, offset long")
 
 
-def best_fit_pack(docs: DataFrame, vocabulary: str, room: int = 1024, rows_a_deal: int = 20000) -> DataFrame:
+def best_fit_pack(docs: DataFrame, vocabulary: str, room: int = 1024) -> DataFrame:
     """Pack whole documents into sequences of at most ``room`` tokens; one row a piece.
 
     Null and empty texts are one end token; repeated rows and ties are pieces of their own; an empty table gives an
-    empty result; other columns are ignored. Shares of a length grow in number with the table, so none grows in size.
+    empty result; other columns are ignored.
     """
-    found = written(pieces(docs, vocabulary, room), "pieces")
-    return pack(found, room, max(16, found.count() // rows_a_deal))
+    return pack(written(pieces(docs, vocabulary, room), "pieces"), room)
