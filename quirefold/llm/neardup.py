@@ -1,5 +1,6 @@
 """Near-duplicates: SuperMinHash signatures, banding, verification on full shingle sets, union-find by star contraction."""
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -68,8 +69,29 @@ def signature(elements: np.ndarray, m: int, block: int = 8192) -> np.ndarray:
     return out
 
 
+def sketch(sig: np.ndarray) -> list[int]:
+    """Four bits of each value of a signature, sixteen to a long."""
+    bits = np.zeros(-(-len(sig) // 16) * 16, dtype=U)
+    with np.errstate(over="ignore"):
+        bits[:len(sig)] = mix(sig.view(U)) & U(15)
+    return np.bitwise_or.reduce(bits.reshape(-1, 16) << (np.arange(16, dtype=U) * U(4)), axis=1).view("i8").tolist()
+
+
+def unlike(a: str, b: str, longs: int) -> str:
+    """SQL for the number of places in which two sketches differ."""
+    one = lambda i: f"shiftrightunsigned({a}[{i}] ^ {b}[{i}], {{}})"
+    quad = lambda i: " | ".join(one(i).format(j) for j in range(4))
+    return " + ".join(f"bit_count(({quad(i)}) & {0x1111111111111111})" for i in range(longs))
+
+
+def allowed(values: int, percent: int, sds: float = 6.0) -> int:
+    """Places in which the sketches of a pair at the threshold differ, with a margin of six standard deviations."""
+    q = (1 - percent / 100) * 15 / 16
+    return math.ceil(values * q + sds * math.sqrt(values * q * (1 - q)))
+
+
 def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n, key of the set, and for the first text of a set in a batch its band hashes."""
+    """doc_id, n, key of the set, and for the first text of a set in a batch its band hashes and sketch."""
     def run(batches):
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
@@ -78,18 +100,19 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 for doc_id, text in zip(part["doc_id"], part["text"]):
                     text = text or ""
                     if text in seen:
-                        out.append((doc_id, *seen[text], None))
+                        out.append((doc_id, *seen[text], None, None))
                         continue
                     s = shingles(text, k)
                     key = hashlib.md5(s.tobytes()).hexdigest() if len(s) else None
                     seen[text] = len(s), key
-                    band = None
+                    band = places = None
                     if len(s):
                         sig = signature(s, bands * rows)
                         band = [xxhash.xxh64_intdigest(sig[b * rows:(b + 1) * rows].tobytes(), seed=b) - 2**63 for b in range(bands)]
-                    out.append((doc_id, len(s), key, band))
-                yield pd.DataFrame(out, columns=["doc_id", "n", "key", "bands"]).astype({"doc_id": "Int64"})
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key string, bands array<long>")
+                        places = sketch(sig)
+                    out.append((doc_id, len(s), key, band, places))
+                yield pd.DataFrame(out, columns=["doc_id", "n", "key", "bands", "sketch"]).astype({"doc_id": "Int64"})
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key string, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -139,15 +162,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Equal sets form a class first; classes meet in band buckets. In the first round each meets its bucket's smallest
     doc_id; links are confirmed on full sets and joined into components. Later rounds open only buckets that still span
     several components: a hash deals every member a place below the bucket's size, and those with places below 4,
-    4 * growth, ... in turn meet all members of other components. A bucket is left once it spans one component or all its
-    places have had their turn, so no pair that shares a bucket goes unseen, and only pairs across components are made.
+    4 * growth, ... in turn meet all members of other components, and pairs whose sketches differ in more places than six
+    standard deviations explain are no links and leave inside that join. A bucket is left once it spans one component or all its
+    places have had their turn, so no pair that shares a bucket goes unseen, and only likely pairs across components are made.
     Null, empty and blank texts have no shingles and link with nothing; repeated rows link with themselves and stay;
     rows with a null doc_id stay with a null component; an empty table gives an empty result; other columns are ignored.
     """
     table = written(signed(docs, k, bands, rows), "signed")
     classes = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = table.where("bands is not null").join(classes, "key").where("doc_id = rep").select("rep", "n", "bands").dropDuplicates(["rep"])
-    members = written(reps, "members").select("rep", "n", F.explode("bands").alias("band"))
+    reps = table.where("bands is not null").join(classes, "key").where("doc_id = rep").select("rep", "n", "bands", "sketch").dropDuplicates(["rep"])
+    reps = written(reps, "members")
+    members = reps.select("rep", "n", F.explode("bands").alias("band"))
     buckets = written(members.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("lead")).where("size > 1"), "buckets")
     near = "100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent
     pair = (F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
@@ -155,15 +180,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     seen, links = pairs, confirmed(docs, pairs, k, percent)
     comp = components(links)
     members = members.join(buckets.select("band", "size"), "band").withColumn("place", F.pmod(F.xxhash64("rep", "band"), F.col("size")))
+    like = unlike("sketch", "lead.sketch", -(-bands * rows // 16)) + f" <= {allowed(bands * rows, percent)}"
     low, high = 0, 4
     while True:
         inside = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = inside.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        inside = written(inside.where(F.col("size") > low).join(several, "band", "left_semi"), "open")
+        inside = inside.where(F.col("size") > low).join(several, "band", "left_semi")
+        inside = written(inside if low else inside.join(reps.select("rep", "sketch"), "rep"), "open")
         if inside.isEmpty():
             break
-        leads = inside.where((F.col("place") >= low) & (F.col("place") < high)).select("band", F.struct("rep", "n", "component").alias("lead"))
-        pairs = inside.join(leads, "band").where("component != lead.component and " + near).select(*pair).distinct()
+        leads = inside.where((F.col("place") >= low) & (F.col("place") < high)).select("band", F.struct("rep", "n", "component", "sketch").alias("lead"))
+        pairs = inside.join(leads, "band").where(f"component != lead.component and {near} and {like}").select(*pair).distinct()
         pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         found = confirmed(docs, pairs, k, percent)
         if not found.isEmpty():

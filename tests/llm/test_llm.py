@@ -171,3 +171,12 @@ def test_links_between_followers(spark):
                 root[i] = min(root[i], root[j])
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == root and len(set(root.values())) == 60
+
+
+def test_sketch(spark):
+    rng = np.random.default_rng(6)
+    a = rng.random(96)
+    b = np.where(np.arange(96) < 40, rng.random(96), a)
+    row = spark.createDataFrame([(neardup.sketch(a), neardup.sketch(b))], "x array<long>, y array<long>").selectExpr(neardup.unlike("x", "y", 6) + " as n").first()
+    nibble = lambda v: int(neardup.mix(np.array([v]).view("u8"))[0]) & 15
+    assert row["n"] == sum(nibble(x) != nibble(y) for x, y in zip(a, b))
