@@ -5,6 +5,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from quirefold.plans import archive  # noqa: F401 - registers its queries
 from quirefold.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
