@@ -43,6 +43,10 @@ def collapse(c) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"{WS}+", " "), "^ | $", "")
 
 
+def trim(c) -> Column:
+    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+
+
 def tokens(c, stopwords=STOPWORDS) -> Column:
     """Lower-case words of letters and digits, accents kept; pass an empty list to keep function words."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}\s]", " "), r"\s+")
@@ -58,7 +62,7 @@ def pair_tokens(c, stopwords=STOPWORDS) -> Column:
 
 
 def word_count(c) -> Column:
-    return F.when(F.coalesce(F.btrim(c), F.lit("")) == "", 0).otherwise(F.size(F.split(F.btrim(c), r"\s+"))).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), f"{WS}+"), lambda w: w != "")).cast("long")
 
 
 def whole_word(word: str) -> str:
@@ -67,14 +71,14 @@ def whole_word(word: str) -> str:
     return f"(?<![A-Za-z0-9_]){quoted}(?![A-Za-z0-9_])"
 
 
-def html_text(c) -> Column:
-    """Script and style out, breaks and paragraph ends to line feeds, other tags out, entities decoded in a fixed order."""
-    c = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
+def html_text(c: Column | str) -> Column:
+    """Script and style out, breaks and paragraph ends to line feeds, other tags out, entities decoded in a fixed order; null gives ''."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     c = F.regexp_replace(c, r"(?i)<br\s*/?>|</p>", "\n")
     c = F.regexp_replace(c, "<[^>]+>", "")
     for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.btrim(c)
+    return c
 
 
 def slug(c, width: int | None = None) -> Column:

@@ -10,7 +10,7 @@ LANGUAGES = {"español": "es", "inglés": "en", "francés": "fr", "alemán": "de
 
 def slug_words(c, width: int | None = None) -> Column:
     """Other signs are deleted, spaces become hyphens; cut to width without trimming the edge again."""
-    out = F.regexp_replace(F.regexp_replace(F.btrim(F.regexp_replace(T.fold(c), r"[^a-z0-9\s-]", "")), r"\s+", "-"), "-+", "-")
+    out = F.regexp_replace(F.regexp_replace(T.trim(F.regexp_replace(T.fold(c), r"[^a-z0-9\s-]", "")), r"\s+", "-"), "-+", "-")
     return F.left(out, F.lit(width)) if width else F.regexp_replace(out, "^-|-$", "")
 
 
@@ -24,7 +24,7 @@ def capitalised(c) -> Column:
 
 
 def comma_list(c) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.btrim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), T.trim), lambda x: x != "")
 
 
 def id_list(c) -> Column:
@@ -33,20 +33,20 @@ def id_list(c) -> Column:
 
 
 def blank_null(c) -> Column:
-    return F.nullif(F.btrim(c), F.lit(""))
+    return F.nullif(T.trim(c), F.lit(""))
 
 
 def is_true(c) -> Column:
-    return F.coalesce(F.lower(F.btrim(c.cast("string"))).isin("true", "1"), F.lit(False))
+    return F.coalesce(F.lower(T.trim(c.cast("string"))).isin("true", "1"), F.lit(False))
 
 
 def language_code(c, default: str = "es") -> Column:
-    return F.coalesce(F.create_map(*(F.lit(x) for p in LANGUAGES.items() for x in p))[F.lower(F.btrim(c))], F.lit(default))
+    return F.coalesce(F.create_map(*(F.lit(x) for p in LANGUAGES.items() for x in p))[F.lower(T.trim(c))], F.lit(default))
 
 
 def paragraphs(c) -> Column:
     """Non-blank paragraphs as (type, text)."""
-    return F.transform(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n+"), lambda x: F.btrim(x)), lambda x: x != ""), lambda x: F.struct(F.lit("paragraph").alias("type"), x.alias("text")))
+    return F.transform(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n+"), T.trim), lambda x: x != ""), lambda x: F.struct(F.lit("paragraph").alias("type"), x.alias("text")))
 
 
 def document_id(*keys) -> Column:
@@ -60,11 +60,11 @@ def json_keys(c) -> Column:
 
 def unfenced(c) -> Column:
     """JSON text without a Markdown fence around it."""
-    return F.btrim(F.regexp_replace(c, r"```(?:json)?", ""))
+    return T.trim(F.regexp_replace(c, r"```(?:json)?", ""))
 
 
 def truncated(c, width: int = 8000) -> Column:
-    return F.left(F.btrim(F.replace(c, F.lit("\r\n"), F.lit("\n"))), F.lit(width))
+    return F.left(T.trim(F.replace(c, F.lit("\r\n"), F.lit("\n"))), F.lit(width))
 
 
 def year_date(c) -> Column:

@@ -36,7 +36,7 @@ def valid(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with every required cell, the rest)."""
     ok: Column = F.lit(True)
     for c in required:
-        ok = ok & (F.coalesce(F.btrim(F.col(c).cast("string")), F.lit("")) != "")
+        ok = ok & (F.coalesce(T.trim(F.col(c).cast("string")), F.lit("")) != "")
     return rows.where(ok), rows.where(~ok)
 
 
@@ -71,13 +71,13 @@ def links_without_owner(links: DataFrame, existing: DataFrame, owner: str) -> Da
 
 def mentioned(people: DataFrame, articles: DataFrame) -> DataFrame:
     """people(canon, articulos: array of structs with slug) to (name, article_id) links; unknown slugs are dropped."""
-    named = people.select(F.btrim("canon").alias("name"), F.explode("articulos").alias("a")).select("name", F.col("a.slug").alias("slug"))
+    named = people.select(T.trim("canon").alias("name"), F.explode("articulos").alias("a")).select("name", F.col("a.slug").alias("slug"))
     return named.join(articles.select("slug", "article_id"), "slug").select("name", "article_id").distinct()
 
 
 def insert_names(names: DataFrame, existing: DataFrame, column: str = "nombre") -> DataFrame:
     """Names not there yet, without regard to case and edges; new rows are not merged with each other."""
-    key = F.lower(F.btrim(F.col(column)))
+    key = F.lower(T.trim(F.col(column)))
     return names.withColumn("__k", key).join(existing.select(key.alias("__k")).distinct(), "__k", "left_anti").drop("__k")
 
 

@@ -18,7 +18,8 @@ FOLD = "lower(strip_accents(coalesce({}, '')))"
 WORDS = "list_filter(string_split_regex(regexp_replace(lower(coalesce(body, '')), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '' and w not in (" + STOP + "))"
 PAIRS = "list_filter(list_transform(string_split_regex(regexp_replace(lower(strip_accents(coalesce(body, ''))), '[^\\p{L}\\p{N}\\s-]', ' ', 'g'), '\\s+'), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')), lambda w: length(w) >= 3 and w not in (" + STOP + "))"
 COUNT = "len(regexp_extract_all(lower(strip_accents(coalesce({c}, ''))), '\\b{w}\\b'))"
-NWORDS = "case when trim(coalesce(body, ''), ' ') = '' then 0 else len(string_split_regex(trim(body, ' '), '\\s+')) end"
+SPACE = "[\\t-\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+NWORDS = f"len(list_filter(string_split_regex(coalesce(body, ''), '{SPACE}+'), lambda w: w <> ''))"
 
 QUERIES, SQL = {}, {}
 
@@ -180,7 +181,7 @@ def q08_nearest_pair(spark, d):
     return lexis.nearest_pair(corpus.articles(spark, d), *PAIR_WORDS, 5)
 
 
-@query("select page_id, trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br\\s*/?>|</p>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), ' ') as body from pages")
+@query("select page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br\\s*/?>|</p>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', '''') as body from pages")
 def fn10_html_text(spark, d):
     return t(spark, d, "pages").select("page_id", T.html_text("html").alias("body"))
 

@@ -2,12 +2,14 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def read_csv(spark: SparkSession, path: str, trim: bool = True, strict: bool = False) -> DataFrame:
     """Quoted CSV with line breaks in cells; headers lower-cased, missing cells empty, blank rows dropped."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=trim, ignoreTrailingWhiteSpace=trim, mode="DROPMALFORMED" if strict else "PERMISSIVE")
     df = df.toDF(*(c.strip().lower() for c in df.columns)).na.fill("")
-    return df.where(F.concat_ws("", *(F.trim(F.col(f"`{c}`")) for c in df.columns)) != "")
+    return df.where(F.concat_ws("", *(T.trim(F.col(f"`{c}`")) for c in df.columns)) != "")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -17,7 +19,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def read_lemmas(spark: SparkSession, path: str) -> DataFrame:
     """form, lemma from 'lemma<TAB>form' lines; each lemma is also its own form unless listed."""
     df = spark.read.csv(path, sep="\t", schema="lemma string, form string").select(
-        *(F.lower(F.trim(F.replace(c, F.lit("﻿"), F.lit("")))).alias(c) for c in ("lemma", "form")), F.monotonically_increasing_id().alias("line")).where("form is not null")
+        *(F.lower(T.trim(F.replace(c, F.lit("﻿"), F.lit("")))).alias(c) for c in ("lemma", "form")), F.monotonically_increasing_id().alias("line")).where("form is not null")
     forms = df.groupBy("form").agg(F.max_by("lemma", "line").alias("lemma"))
     own = df.select(F.col("lemma").alias("form"), "lemma").distinct().join(forms, "form", "left_anti")
     return forms.unionByName(own)
