@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 U = np.uint64
+PARITY = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,6 +78,19 @@ def sketch(sig: np.ndarray) -> list[int]:
     return np.bitwise_or.reduce(bits.reshape(-1, 16) << (np.arange(16, dtype=U) * U(4)), axis=1).view("i8").tolist()
 
 
+def parity(elements: np.ndarray) -> list[int]:
+    """One bit for each of PARITY buckets: whether it holds an odd number of elements.
+
+    Each element that only one of two sets holds flips one bit, so at least as many elements differ as bits do."""
+    odd = (np.bincount((elements & U(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view("i8").tolist()
+
+
+def apart(a: str, b: str, at: int) -> str:
+    """SQL for the number of bits in which two parities, held from place ``at``, differ."""
+    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(at, at + PARITY // 64))
+
+
 def unlike(a: str, b: str, longs: int) -> str:
     """SQL for the number of places in which two sketches differ."""
     one = lambda i: f"shiftrightunsigned({a}[{i}] ^ {b}[{i}], {{}})"
@@ -91,7 +105,7 @@ def allowed(values: int, percent: int, sds: float = 6.0) -> int:
 
 
 def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n, key of the set, and for the first text of a set in a batch its band hashes and sketch."""
+    """doc_id, n, key of the set, and for the first text of a set in a batch its band hashes, and sketch and parity in one array."""
     def run(batches):
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
@@ -109,7 +123,7 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     if len(s):
                         sig = signature(s, bands * rows)
                         band = [xxhash.xxh64_intdigest(sig[b * rows:(b + 1) * rows].tobytes(), seed=b) - 2**63 for b in range(bands)]
-                        places = sketch(sig)
+                        places = sketch(sig) + parity(s)
                     out.append((doc_id, len(s), key, band, places))
                 yield pd.DataFrame(out, columns=["doc_id", "n", "key", "bands", "sketch"]).astype({"doc_id": "Int64"})
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key string, bands array<long>, sketch array<long>")
@@ -145,26 +159,41 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b), a written table, whose full sets are near enough; only their texts have sets written."""
-    if pairs.isEmpty():
-        return pairs
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k), "sets")
+def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Written shingle sets of the documents in ids(doc_id)."""
+    return written(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose full sets are near enough."""
     full = lambda c: sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}"))
     checked = pairs.join(full("b"), "b").join(full("a"), "a").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return written(checked.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, growth: int = 16) -> DataFrame:
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """rep, shingle, first: of each set the rarest shingles, of which two near sets share one at least.
+
+    Rare is by the number of these sets that hold a shingle, ties by its hash. Of the smaller set of a pair those marked
+    first suffice, as the pair's common part is larger in relation to it. Shingles of one set alone come first and meet
+    nothing, so they only shorten the rest."""
+    items = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    df = written(items.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "df")
+    held = items.join(df, "shingle").groupBy("rep").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    held = held.withColumn("alone", F.col("n") - F.size("held"))
+    held = held.select("rep", "n", "alone", F.posexplode(F.expr(f"slice(held, 1, greatest(0, n - int((n * {percent}L + 99) div 100) + 1 - alone))")).alias("i", "x"))
+    return held.select("rep", F.col("x.shingle").alias("shingle"), F.expr(f"alone + i <= n - (n * {2 * percent}L + {99 + percent}) div {100 + percent}").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document.
 
     Equal sets form a class first; classes meet in band buckets. In the first round each meets its bucket's smallest
-    doc_id; links are confirmed on full sets and joined into components. Later rounds open only buckets that still span
-    several components: a hash deals every member a place below the bucket's size, and those with places below 4,
-    4 * growth, ... in turn meet all members of other components, and pairs whose sketches differ in more places than six
-    standard deviations explain are no links and leave inside that join. A bucket is left once it spans one component or all its
-    places have had their turn, so no pair that shares a bucket goes unseen, and only likely pairs across components are made.
+    doc_id; links are confirmed on full sets and joined into components. Buckets that then span several components are
+    opened: the classes in them meet by their rarest shingles, in which near sets must share one, so no link within a
+    bucket is lost, while texts that share a frequent passage only don't meet. Pairs of one component, of sizes too far
+    apart, with parities that prove too many differences, or with sketches that differ in more places than six standard
+    deviations explain, leave inside that join.
     Null, empty and blank texts have no shingles and link with nothing; repeated rows link with themselves and stay;
     rows with a null doc_id stay with a null component; an empty table gives an empty result; other columns are ignored.
     """
@@ -177,27 +206,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     near = "100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent
     pair = (F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
     pairs = written(members.join(buckets, "band").where("rep != lead.rep and " + near).select(*pair).distinct(), "pairs")
-    seen, links = pairs, confirmed(docs, pairs, k, percent)
+    links = confirmed(pairs, sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k), percent)
     comp = components(links)
-    members = members.join(buckets.select("band", "size"), "band").withColumn("place", F.pmod(F.xxhash64("rep", "band"), F.col("size")))
-    like = unlike("sketch", "lead.sketch", -(-bands * rows // 16)) + f" <= {allowed(bands * rows, percent)}"
-    low, high = 0, 4
-    while True:
-        inside = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        several = inside.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        inside = inside.where(F.col("size") > low).join(several, "band", "left_semi")
-        inside = written(inside if low else inside.join(reps.select("rep", "sketch"), "rep"), "open")
-        if inside.isEmpty():
-            break
-        leads = inside.where((F.col("place") >= low) & (F.col("place") < high)).select("band", F.struct("rep", "n", "component", "sketch").alias("lead"))
-        pairs = inside.join(leads, "band").where(f"component != lead.component and {near} and {like}").select(*pair).distinct()
-        pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        found = confirmed(docs, pairs, k, percent)
+
+    inside = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    banded = inside.select("rep", "component", F.explode("bands").alias("band"))
+    several = banded.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    opened = written(banded.join(several, "band", "left_semi").select("rep").distinct().join(inside, "rep").select("rep", "n", "component", "sketch"), "open")
+    if not opened.isEmpty():
+        sets = sets_of(docs, opened.select(F.col("rep").alias("doc_id")), k)
+        keyed = written(prefixes(sets, percent).join(opened, "rep"), "prefixes")
+        mixed = keyed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+        keyed = keyed.join(mixed, "shingle", "left_semi")
+        longs = -(-bands * rows // 16)
+        like = f"({100 + percent}) * ({apart('sketch', 'lead.sketch', longs)}) <= {100 - percent} * (n + lead.n) and {unlike('sketch', 'lead.sketch', longs)} <= {allowed(bands * rows, percent)}"
+        leads = keyed.where("first").select("shingle", F.struct("rep", "n", "component", "sketch").alias("lead"))
+        more = keyed.join(leads, "shingle").where(f"(lead.n < n or lead.n = n and lead.rep != rep) and component != lead.component and {near} and {like}").select(*pair).distinct()
+        found = confirmed(written(more, "pairs"), sets, percent)
         if not found.isEmpty():
-            links = links.union(found)
-            comp = components(links)
-        seen, members = seen.union(pairs), inside.drop("component")
-        low, high = high, high * growth
+            comp = components(links.union(found))
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "key").join(classes, "key", "left")
     out = out.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     root = F.coalesce("component", "rep", "doc_id")

@@ -180,3 +180,12 @@ def test_sketch(spark):
     row = spark.createDataFrame([(neardup.sketch(a), neardup.sketch(b))], "x array<long>, y array<long>").selectExpr(neardup.unlike("x", "y", 6) + " as n").first()
     nibble = lambda v: int(neardup.mix(np.array([v]).view("u8"))[0]) & 15
     assert row["n"] == sum(nibble(x) != nibble(y) for x, y in zip(a, b))
+
+
+def test_parity_never_overstates(spark):
+    rng = np.random.default_rng(7)
+    for n in (3, 300, 5000):
+        a, b = (np.unique(rng.integers(0, 2**63, n).astype("u8")) for _ in range(2))
+        b = np.union1d(a[n // 3:], b[n // 2:])
+        row = spark.createDataFrame([(neardup.parity(a), neardup.parity(b))], "x array<long>, y array<long>").selectExpr(neardup.apart("x", "y", 0) + " as n").first()
+        assert 0 < row["n"] <= len(np.setxor1d(a, b))
