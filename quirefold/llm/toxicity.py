@@ -12,11 +12,16 @@ WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 
 
+def units(word: str) -> tuple[str, ...]:
+    """The word and its beginnings, which inflected and joined forms share."""
+    return (word, f"{word[:4]}~", f"{word[:5]}~") if len(word) > 5 else (word, f"{word[:4]}~") if len(word) > 4 else (word,)
+
+
 def sentences(text: str, vocabulary: dict) -> list[tuple[str, list[int]]]:
-    """Sentences that hold vocabulary words, with those words' indices."""
+    """Sentences that hold units of the vocabulary, with those units' indices."""
     out = []
     for s in SENTENCE.split(text.lower()):
-        if found := sorted({vocabulary[w] for w in WORD.findall(s) if w in vocabulary}):
+        if found := sorted({vocabulary[u] for w in WORD.findall(s) for u in units(w) if u in vocabulary}):
             out.append((s, found))
     return out
 
@@ -27,17 +32,25 @@ def combine(sums, bias: float) -> float:
 
 
 def fit(texts: list[str], labels: list[int], words: int = 300, rounds: int = 200) -> tuple[dict, float]:
-    """Word weights and bias. Words are kept where they mark toxic texts with z above 3.5 and a lift above 2."""
-    df = [Counter(), Counter()]
+    """Weights of units and bias. Units are kept where they mark toxic texts with z above 3.5 and a lift above 2.
+
+    They must also stand between as many different neighbours in toxic texts as a fiftieth of these texts, three at
+    least: the words of one text that has many copies always stand between the same.
+    """
+    df, places = [Counter(), Counter()], set()
     n = [Counter(labels)[0], Counter(labels)[1]]
     for text, y in zip(texts, labels):
-        df[y].update(set(WORD.findall(text.lower())))
+        found = WORD.findall(text.lower())
+        df[y].update({u for w in set(found) for u in units(w)})
+        if y:
+            places.update((u, a, b) for w, a, b in zip(found, ["", *found], [*found[1:], ""]) for u in units(w))
+    apart = Counter(w for w, _, _ in places)
     picked = []
     for w, hits in df[1].items():
         a, b = hits / max(n[1], 1), df[0][w] / max(n[0], 1)
         pool = (hits + df[0][w]) / max(sum(n), 1)
         se = math.sqrt(pool * (1 - pool) * (1 / max(n[1], 1) + 1 / max(n[0], 1))) or 1.0
-        if hits >= 3 and (a - b) / se > 3.5 and a > 2 * b:
+        if hits >= 3 and apart[w] >= max(3, n[1] / 50) and (a - b) / se > 3.5 and a > 2 * b:
             picked.append(((a - b) / se, w))
     vocabulary = {w: i for i, (_, w) in enumerate(sorted(picked, reverse=True)[:words])}
     bags, sents, feats, y = [], [], [], []
