@@ -177,10 +177,10 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     Rare is by the number of these sets that hold a shingle, ties by its hash. Of the smaller set of a pair those marked
     first suffice, as the pair's common part is larger in relation to it. Shingles of one set alone come first and meet
     nothing, so they only shorten the rest."""
-    items = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    items = sets.select("rep", F.explode("shingles").alias("shingle"))
     df = written(items.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "df")
-    held = items.join(df, "shingle").groupBy("rep").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
-    held = held.withColumn("alone", F.col("n") - F.size("held"))
+    held = items.join(df, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    held = held.join(sets.select("rep", F.size("shingles").alias("n")), "rep").withColumn("alone", F.col("n") - F.size("held"))
     held = held.select("rep", "n", "alone", F.posexplode(F.expr(f"slice(held, 1, greatest(0, n - int((n * {percent}L + 99) div 100) + 1 - alone))")).alias("i", "x"))
     return held.select("rep", F.col("x.shingle").alias("shingle"), F.expr(f"alone + i <= n - (n * {2 * percent}L + {99 + percent}) div {100 + percent}").alias("first"))
 
@@ -215,9 +215,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     opened = written(banded.join(several, "band", "left_semi").select("rep").distinct().join(inside, "rep").select("rep", "n", "component", "sketch"), "open")
     if not opened.isEmpty():
         sets = sets_of(docs, opened.select(F.col("rep").alias("doc_id")), k)
-        keyed = written(prefixes(sets, percent).join(opened, "rep"), "prefixes")
+        keyed = written(prefixes(sets, percent).join(opened.drop("sketch"), "rep"), "prefixes")
         mixed = keyed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-        keyed = keyed.join(mixed, "shingle", "left_semi")
+        keyed = keyed.join(mixed, "shingle", "left_semi").join(opened.select("rep", "sketch"), "rep")
         longs = -(-bands * rows // 16)
         like = f"({100 + percent}) * ({apart('sketch', 'lead.sketch', longs)}) <= {100 - percent} * (n + lead.n) and {unlike('sketch', 'lead.sketch', longs)} <= {allowed(bands * rows, percent)}"
         leads = keyed.where("first").select("shingle", F.struct("rep", "n", "component", "sketch").alias("lead"))
