@@ -106,7 +106,7 @@ def q32_import_actions(spark, d):
 
 @query(f"with s as (select page_id, url, regexp_replace(regexp_replace({FOLD.format('left(url, 24)')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from pages), r as (select page_id, slug, row_number() over (partition by slug order by page_id) - 1 as n from s) select page_id, case when n > 0 then slug || '-' || n else slug end as slug from r")
 def fn31_unique_slugs(spark, d):
-    pages = t(spark, d, "pages").select("page_id", T.slug(F.left(F.coalesce("url", F.lit("")), F.lit(24))).alias("slug"))
+    pages = t(spark, d, "pages").select("page_id", T.slug(F.coalesce("url", F.lit(""))).alias("slug"))
     return loading.unique_slugs(pages, "slug", spark.createDataFrame([], "slug string"), ["page_id"])
 
 
@@ -119,7 +119,7 @@ def sk06_fill_nulls(spark, d):
 
 @query("select doc_id, len(list_distinct(list_transform(regexp_extract_all(left(text, 400), '[0-9]{1,9}'), lambda x: cast(x as bigint)))) as n from documents")
 def fn35_id_list(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all(F.left("text", F.lit(400)), F.lit("[0-9]{1,9}"), 0).cast("array<long>"))).cast("long").alias("n"))
+    return t(spark, d, "documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{1,9}"), 0).cast("array<long>"))).cast("long").alias("n"))
 
 
 @query("select c_custkey, c_name, regexp_replace(regexp_replace(trim(regexp_replace(lower(strip_accents(c_name)), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), '-+', '-', 'g') as slug from customer")
