@@ -13,8 +13,8 @@ PARTS = [("'<div class=\"Titulo\">t<b>x</b></div><div class=\"Normal\">'", "'</d
          ("'<div class=\"Estrofa\">'", "'</div><div class=\"EstrofaT\">c &lt;</div><div class=\"Normal\"> </div>'"),
          ("'<div class=\"imgbox\"><div class=\"TituloI\">'", "'&amp;&nbsp;D</div></div><a class=\"page\">4</a><div class=\"Normal\"></div>'"),
          ("'<div class=\"imgbox\"><div class=\"NormalI\">'", "'</div><div class=\"DescrI\">an ad</div></div>'")]
-HTML = "case doc_id % 4 " + " ".join(f"when {i} then concat({a}, coalesce(left(text, 200), ''), {b})" for i, (a, b) in enumerate(PARTS)) + " end"
-RAW = f"raw as (select doc_id as article_id, {HTML} as html from documents), cut as (select article_id, regexp_replace(regexp_replace(html, '(?s)<div class=\"(?:Título|Titulo|Autor|Autortexto|DescrI)\">.*?</div>', '', 'g'), '(?s)<a class=\"page\".*?</a>', '', 'g') as html from raw)"
+HTML = "case doc_id % 4 " + " ".join(f"when {i} then concat({a}, coalesce({{0}}, ''), {b})" for i, (a, b) in enumerate(PARTS)) + " end"
+RAW = f"raw as (select doc_id as article_id, {HTML.format('left(text, 200)')} as html from documents), cut as (select article_id, regexp_replace(regexp_replace(html, '(?s)<div class=\"(?:Título|Titulo|Autor|Autortexto|DescrI)\">.*?</div>', '', 'g'), '(?s)<a class=\"page\".*?</a>', '', 'g') as html from raw)"
 DECODE = "replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"')"
 UNTAG = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 SQUASH = "trim(regexp_replace({}, '\\s+', ' ', 'g'), ' ')"
@@ -23,7 +23,7 @@ LEFT = "regexp_replace(regexp_replace(html, '(?s)<a class=\"page\".*?</a>', '',
 
 
 def _html(spark, d):
-    return t(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.expr(HTML).alias("html"))
+    return t(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.expr(HTML.format("text")).alias("html"))
 
 
 @query(f"with {RAW}, b as (select article_id, html, {LEFT} as rest from cut) select article_id, {SQUASH.format(DECODE.format(UNTAG))} as body, {CAPTIONS} as captions, len(regexp_extract_all(rest, '<div class=\"Estrofa[^\"]*\"')) + len(regexp_extract_all(rest, '<div class=\"Normal[^\"]*\"')) > 0 and len(regexp_extract_all(rest, '<div class=\"Estrofa[^\"]*\"')) >= len(regexp_extract_all(rest, '<div class=\"Normal[^\"]*\"')) as is_poem, contains(rest, '<div class=\"imgbox\">') and not contains(rest, '<div class=\"DescrI\">') and not regexp_matches(rest, '<div class=\"(?:Normal|Estrofa|Cita)') as is_artwork from b")

@@ -20,3 +20,12 @@ def test_unique_slugs_whole_url(spark, tmp_path):
     pages = pd.DataFrame({"page_id": [1, 2, 3], "url": ["http://example.com/en/page/one", "http://example.com/en/page/two", "http://example.com/en/page/One/"]})
     want = [("http-example-com-en-page-one", 1), ("http-example-com-en-page-one-1", 3), ("http-example-com-en-page-two", 2)]
     assert rows(spark, tmp_path, "fn31_unique_slugs", pages=pages) == want
+
+
+def test_html_whole_text(spark, tmp_path):
+    long = "w " * 150
+    docs = pd.DataFrame({"doc_id": [4, 5, 6, 7], "text": [long + "fin", long + '</div><div class="Estrofa">y', long + "QUÉ", long + '</div><div class="EstrofaX">z']})
+    got = {r[0]: r[1:] for r in rows(spark, tmp_path, "q25_article_columns", documents=docs)}
+    assert got[4][0].startswith(long + "fin") and got[5][0].endswith("y c <") and got[6][1] == long + "QUÉ& D" and got[7][0].endswith("z")
+    assert rows(spark, tmp_path, "q23_caption_search", documents=docs) == [(6, long + "QUÉ& D")]
+    assert rows(spark, tmp_path, "fn20_has_verse", documents=docs) == [(4, False), (5, True), (6, False), (7, True)]
