@@ -15,13 +15,20 @@ def exact_match(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def fuzzy_match(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 3) -> DataFrame:
     """Up to k candidates that share significant name words: overlap, then Jaccard, then activity, then id."""
-    a = left.select("id", T.significant("name").alias("words"))
+    a = left.select("id", T.significant("name").alias("words")).distinct()
     b = right.select(F.col("id").alias("match_id"), T.significant("name").alias("other"), F.coalesce("activity", F.lit(0)).alias("activity"))
-    pairs = a.withColumn("w", F.explode("words")).join(b.withColumn("w", F.explode("other")), "w").drop("w").dropDuplicates(["id", "match_id"])
+    b = b.groupBy("match_id", "other").agg(F.max("activity").alias("activity"))
+    # Names of the same words have the same scores: each set of words is compared once, and only its k first ids can be among the k best.
+    first = Window.partitionBy("other").orderBy(F.desc("activity"), "match_id")
+    b = b.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r")
+    sets = a.select("words").distinct().withColumn("w", F.explode("words")).join(b.select("other").distinct().withColumn("w", F.explode("other")), "w").select("words", "other").distinct()
     shared = F.size(F.array_intersect("words", "other"))
-    pairs = pairs.withColumns({"overlap": shared / F.least(F.size("words"), F.size("other")), "jaccard": shared / F.size(F.array_union("words", "other"))}).where(F.col("overlap") >= least)
-    w = Window.partitionBy("id").orderBy(F.desc("overlap"), F.desc("jaccard"), F.desc("activity"), "match_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "match_id", "overlap", "jaccard", "rank")
+    sets = sets.withColumns({"overlap": shared / F.least(F.size("words"), F.size("other")), "jaccard": shared / F.size(F.array_union("words", "other"))}).where(F.col("overlap") >= least)
+    best = [F.desc("overlap"), F.desc("jaccard"), F.desc("activity"), "match_id"]
+    pairs = sets.join(b, "other").withColumn("of", F.row_number().over(Window.partitionBy("words", "match_id").orderBy(*best))).where("of = 1")
+    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("words").orderBy(*best))).where(F.col("rank") <= k).drop("other", "of", "rank")
+    pairs = a.join(pairs, "words").dropDuplicates(["id", "match_id"])
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*best))).where(F.col("rank") <= k).select("id", "match_id", "overlap", "jaccard", "rank")
 
 
 def insert_absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

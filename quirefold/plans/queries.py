@@ -220,8 +220,7 @@ SIG = "list_distinct(list_filter(string_split_regex(lower(strip_accents({})), '[
   select id, match_id, round(overlap, 6) as overlap, round(jaccard, 6) as jaccard, cast(rank as int) as rank from r where rank <= 3""")
 def q29_fuzzy_match(spark, d):
     part = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit(0).alias("activity"))
-    left = part.join(t(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_semi")
-    return entities.fuzzy_match(left, part).withColumns({c: F.round(c, 6) for c in ("overlap", "jaccard")})
+    return entities.fuzzy_match(part, part).withColumns({c: F.round(c, 6) for c in ("overlap", "jaccard")})
 
 
 VALUES = ", ".join(f"({p}, '{c}', {a}, {b})" for p, c, a, b in CITIES)

@@ -1,4 +1,6 @@
 """Queries read whole texts; rows that a shorter reading would lose."""
+import re
+
 import pandas as pd
 
 from quirefold.plans import archive  # noqa: F401 - registers its queries
@@ -29,3 +31,16 @@ def test_html_whole_text(spark, tmp_path):
     assert got[4][0].startswith(long + "fin") and got[5][0].endswith("y c <") and got[6][1] == long + "QUÉ& D" and got[7][0].endswith("z")
     assert rows(spark, tmp_path, "q23_caption_search", documents=docs) == [(6, long + "QUÉ& D")]
     assert rows(spark, tmp_path, "fn20_has_verse", documents=docs) == [(4, False), (5, True), (6, False), (7, True)]
+
+
+def test_fuzzy_match_all_parts(spark, tmp_path):
+    """Every part name against every other, by brute force; only one of the ids is a supplier's."""
+    names = ["red bolt", "bolt red", "red nut", "blue nut plate", "plate of steel", "Réd Bolt plate", "alone", "", None, "x y", "red bolt", "nut red", "nut", "red red"]
+    part = pd.DataFrame({"p_partkey": range(1, len(names) + 1), "p_name": names})
+    plain = [re.sub("[^a-z]+", " ", (n or "").lower().replace("é", "e")).split() for n in names]
+    words = {i: {w for w in ws if len(w) >= 3} for i, ws in zip(part.p_partkey, plain)}
+    want = []
+    for i, a in words.items():
+        near = [(-len(a & b) / min(len(a), len(b)), -len(a & b) / len(a | b), j) for j, b in words.items() if a & b and 2 * len(a & b) >= min(len(a), len(b))]
+        want += [(i, j, round(-o, 6), round(-q, 6), r) for r, (o, q, j) in enumerate(sorted(near)[:3], 1)]
+    assert rows(spark, tmp_path, "q29_fuzzy_match", part=part, supplier=pd.DataFrame({"s_suppkey": [1]})) == sorted(want)
