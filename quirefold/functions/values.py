@@ -84,6 +84,8 @@ def known_place(c) -> Column:
 
 
 def entropy_label(h_norm, reliable) -> Column:
+    """Band of the normalised entropy; sums that miss an edge by rounding only count as on it."""
+    h_norm = F.round(h_norm, 9)
     return (F.when(~reliable, "insuficiente").when(h_norm < 0.25, "convencional").when(h_norm < 0.5, "moderado")
             .when(h_norm < 0.75, "variado").otherwise("innovador"))
 

@@ -129,8 +129,7 @@ def fn29_slug_words(spark, d):
 
 @query(f"with {CHAIN}, e as (select word, max(total) as frequency, case when count(*) > 1 then -sum(cast(n as double) / total * log2(cast(n as double) / total)) / log2(count(*)) else 0 end as h from bi join un using (word) group by word) select word, case when frequency < 5 then 'insuficiente' when h < 0.25 then 'convencional' when h < 0.5 then 'moderado' when h < 0.75 then 'variado' else 'innovador' end as level from e where frequency >= 20 and abs(h - 0.25) > 1e-9 and abs(h - 0.5) > 1e-9 and abs(h - 0.75) > 1e-9")
 def fn53_entropy_level(spark, d):
-    e = lexis.entropy(_pairs(spark, d)).where("frequency >= 20 and abs(h_norm - 0.25) > 1e-9 and abs(h_norm - 0.5) > 1e-9 and abs(h_norm - 0.75) > 1e-9")
-    return e.select("word", V.entropy_label(F.col("h_norm"), F.col("reliable")).alias("level"))
+    return lexis.entropy(_pairs(spark, d)).select("word", V.entropy_label(F.col("h_norm"), F.col("reliable")).alias("level"))
 
 
 @query(f"with {ARTICLES} select issue_order, count(*) as pages_known, cast(min(make_date(year, 1, 1)) as varchar) as first_year from articles where year is not null group by issue_order")

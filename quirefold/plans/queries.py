@@ -126,7 +126,7 @@ def q07_chain_successors(spark, d):
 
 @query(f"with {CHAIN}, e as (select word, max(total) as frequency, count(*) as followers, -sum(cast(n as double) / total * log2(cast(n as double) / total)) as h from bi join un using (word) group by word) select word, frequency, followers, round(h, 5) + 0.0 as h, round(log2(followers), 5) as h_max, round(case when followers > 1 then h / log2(followers) else 0 end, 5) as h_norm, frequency >= 5 as reliable from e where frequency >= 20")
 def ag26_entropy(spark, d):
-    return lexis.entropy(_pairs(spark, d)).where("frequency >= 20").withColumns({c: F.round(c, 5) + 0.0 for c in ("h", "h_max", "h_norm")})
+    return lexis.entropy(_pairs(spark, d)).withColumns({c: F.round(c, 5) + 0.0 for c in ("h", "h_max", "h_norm")})
 
 
 @query(f"with {CHAIN} select word, total as n from un where starts_with(word, 'con') order by total desc, word limit 1")

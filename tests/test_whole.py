@@ -2,7 +2,9 @@
 import re
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from quirefold.functions import values as V
 from quirefold.plans import archive  # noqa: F401 - registers its queries
 from quirefold.plans.queries import QUERIES
 
@@ -44,3 +46,15 @@ def test_fuzzy_match_all_parts(spark, tmp_path):
         near = [(-len(a & b) / min(len(a), len(b)), -len(a & b) / len(a | b), j) for j, b in words.items() if a & b and 2 * len(a & b) >= min(len(a), len(b))]
         want += [(i, j, round(-o, 6), round(-q, 6), r) for r, (o, q, j) in enumerate(sorted(near)[:3], 1)]
     assert rows(spark, tmp_path, "q29_fuzzy_match", part=part, supplier=pd.DataFrame({"s_suppkey": [1]})) == sorted(want)
+
+
+def test_entropy_all_words(spark, tmp_path):
+    """Rare words stay, and so do words on a band edge: 'edge' has nine followers of 1/27 each, so exactly 0.5."""
+    texts = ["rare word"] + [f"edge {c * 3}" for c in "abcdefghi"] + ["edge"] * 18
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": "en", "source": "s"})
+    labels = pd.DataFrame({"doc_id": [0], "quality": [1], "toxic": [0]})
+    assert rows(spark, tmp_path, "fn53_entropy_level", documents=docs, labels=labels) == [("edge", "variado"), ("rare", "insuficiente")]
+    got = {r[0]: (r[1], r[-1]) for r in rows(spark, tmp_path, "ag26_entropy", documents=docs, labels=labels)}
+    assert got == {"edge": (27, True), "rare": (1, False)}
+    below = spark.range(1).select(V.entropy_label(F.lit(0.5 - 1e-12), F.lit(True)).alias("x"))
+    assert below.first()["x"] == "variado"
