@@ -1,4 +1,5 @@
 """License scan: a generalised suffix automaton of license words gives matching statistics; long matches are chained."""
+import pkgutil
 import re
 
 import pandas as pd
@@ -8,14 +9,48 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 # Base phrases with their labels.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
-# Opening sentences of widely used public licenses.
+# Licenses with a file of their whole text in license_texts, by label.
+TEXTS = {"mit": ["mit"], "apache": ["apache"], "gpl": ["gpl-2", "gpl-3"], "lgpl": ["lgpl-2.1", "lgpl-3"], "mpl": ["mpl"], "bsd": ["bsd"], "isc": ["isc"], "cc0": ["cc0"]}
+# Parts of the names of the Creative Commons licenses.
+CC = {"cc-by": "", "cc-by-sa": "sharealike", "cc-by-nd": "noderivatives", "cc-by-nc": "noncommercial", "cc-by-nc-sa": "noncommercial sharealike", "cc-by-nc-nd": "noncommercial noderivatives"}
+# Names that short notices use; where one name holds another, the longer one counts.
+NAMES = {"isc": ["isc license"], "bsd": ["bsd license", "bsd 2 clause", "bsd 3 clause"], "mpl": ["mozilla public license", "mpl 1 1", "mpl 2 0"], "apache": ["apache 2 0", "apache license"], "mit": ["mit license"],
+         "gpl": ["general public license", "gplv2", "gplv3", "gpl 2 0", "gpl 3 0"], "lgpl": ["lesser general public license", "library general public license", "lgplv2", "lgplv2 1", "lgplv3", "lgpl 2 1", "lgpl 3 0"], "cc0": ["cc0", "creative commons zero", "cc0 1 0"]}
+SPELLED = {"": [""], "sharealike": ["sharealike", "share alike"], "noderivatives": ["noderivatives", "no derivatives", "noderivs"], "noncommercial": ["noncommercial", "non commercial"]}
+for _label, _parts in CC.items():
+    _first, _second = [SPELLED[x] for x in (_parts.split() + ["", ""])[:2]]
+    NAMES[_label] = [" ".join(f"creative commons attribution {x} {y}".split()) for x in _first for y in _second] + ["creative commons " + _label[3:].replace("-", " ")]
+    # The bare letters 'cc by' also begin notes on copies of letters.
+    NAMES[_label] += [_label.replace("-", " ")] if _parts else [f"cc by {v}" for v in ("1 0", "2 0", "2 5", "3 0", "4 0", "license")]
+NOTICES = {tuple(x.split()): k for k, names in NAMES.items() for x in names}
+
+
+def passages(text: str, least: int = 12) -> list[str]:
+    """Words of each paragraph of a text; shorter ones, as headings, go with the next."""
+    out, held = [], []
+    for paragraph in re.split(r"\n\s*\n", text):
+        held += WORD.findall(paragraph.translate(UPPER))
+        if len(held) >= least:
+            out.append(" ".join(held))
+            held = []
+    if held:
+        out[-1:] = [" ".join([*out[-1:], *held])]
+    return out
+
+
+# Opening sentences that notices use, then every passage of the whole texts, as label/number.
 TEMPLATES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "apache": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
     "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
+    **{k: " ".join(f"this work is licensed under a creative commons attribution {v} 4 0 international license".split()) for k, v in CC.items()},
 }
+for _label, _files in TEXTS.items():
+    _all = [p for f in _files for p in passages(pkgutil.get_data(__package__, f"license_texts/{f}.txt").decode())]
+    TEMPLATES |= {f"{_label}/{i}": p for i, p in enumerate(dict.fromkeys(_all))}
 
 
 class SuffixAutomaton:
@@ -77,26 +112,38 @@ class SuffixAutomaton:
             yield len(words) - size, len(words)
 
 
-def scan(words, automaton, templates, phrases=PHRASES, long_match=5, gap=3, covered=0.6):
-    base, spans = [], []
-    for a, b in automaton.maximal(words):
-        for p, label in phrases.items():
-            base += [(i, label) for i in range(a, b - len(p) + 1) if tuple(words[i:i + len(p)]) == p]
+def scan(words, automaton, templates, phrases=PHRASES, long_match=5, gap=3, covered=0.6, notices=NOTICES):
+    """Phrases, labels and score; a span counts from long_match words on, a short notice as a whole at any length."""
+    base, spans, found = set(), [], set()
+    first = {p[0] for known in (phrases, notices) for p in known}
+    for a, b in automaton.maximal(words, 1):
+        for i in range(a, b):
+            if words[i] in first:
+                base |= {(i, label) for p, label in phrases.items() if i + len(p) <= b and tuple(words[i:i + len(p)]) == p}
+                found |= {(i, -len(p), label) for p, label in notices.items() if i + len(p) <= b and tuple(words[i:i + len(p)]) == p}
         if b - a >= long_match:
-            spans.append((a, b))
-    base = sorted(set(base))
+            spans.append((a, b, " " + " ".join(words[a:b]) + " "))
+    base, named, end = sorted(base), set(), 0
+    for i, n, label in sorted(found):
+        if i - n > end:
+            named.add(label)
+            end = i - n
     best = {}
-    for label, template in templates.items():
+    for label, template in templates.items() if spans else ():
         inside = " " + " ".join(template) + " "
         chain = total = 0
         end = None
-        for a, b in spans:
-            if " " + " ".join(words[a:b]) + " " in inside:
+        for a, b, span in spans:
+            # A passage may also lie inside a longer match, as where it stands in another license too.
+            if inside in span:
+                total = len(template)
+            elif span in inside:
                 chain = b - max(a, end) + chain if end is not None and a - end <= gap else b - a
                 end, total = b, max(total, chain)
         best[label] = min(1.0, total / len(template))
-    labels = {x for _, x in base} | {x for x, s in best.items() if s >= covered}
-    return base, labels, 1.0 if base else max(best.values(), default=0.0)
+    # The sentences of Creative Commons differ in the name alone, so the name decides.
+    labels = {x for _, x in base} | named | {x.split("/")[0] for x, s in best.items() if s >= covered and x not in CC}
+    return base, labels, 1.0 if base or named else max(best.values(), default=0.0)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -107,7 +154,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
     """
     def run(batches):
         split = {k: v.split() for k, v in templates.items()}
-        automaton = SuffixAutomaton([*PHRASES, *split.values()])
+        automaton = SuffixAutomaton([*PHRASES, *NOTICES, *split.values()])
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
