@@ -30,7 +30,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, share:
 
     Columns: windows (distinct item windows found), item_windows, slots, consistency. A pair counts when at least
     ``share`` of the item's distinct windows, or ``least`` of them, are found, and slot values map one to one in at
-    least ``consistent`` of the slots. Null and empty texts hold nothing; texts of fewer than ``width`` words match
+    least ``consistent`` of the slots at one place of the item: its first, or any that holds so many windows by itself;
+    slots and consistency are those of the most consistent place. Null and empty texts hold nothing; texts of fewer than ``width`` words match
     only as a whole; repeated rows of a doc_id give one pair; empty tables give an empty result; other columns are
     ignored. The benchmark's windows are broadcast only when counted to be at most ``small``.
     """
@@ -38,14 +39,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, share:
     total = items.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     n = items.count()
     hits = windows(docs, "doc_id", width).join(F.broadcast(items) if n <= small else items, "window")
-    found = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("windows"), F.min_by("pos", F.struct("ipos", "pos")).alias("pos"), F.min("ipos").alias("ipos"))
+    # One place for each offset between document and item: its first item position, and all of them.
+    placed = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.min("ipos").alias("ipos"), F.collect_set("ipos").alias("held"))
+    placed = placed.select("doc_id", "item_id", "held", F.struct("ipos", (F.col("offset") + F.col("ipos")).alias("pos"), F.size("held").alias("n")).alias("place"))
+    found = placed.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("windows"), F.collect_list("place").alias("places"))
     found = found.join(total, "item_id").where((F.col("windows") >= F.lit(share) * F.col("item_windows")) | (F.col("windows") >= least))
+    # The first place, and every other that holds enough of the item by itself.
+    enough = F.expr(f"filter(places, p -> p.n >= {share} * item_windows or p.n >= {least} or p = array_min(places))")
+    found = found.withColumn("places", enough)
     sql = canonical("text")
     slotted = lambda df, key, name: df.select(key, F.expr(sql["__raw"]).alias("__raw")).select(key, "__raw", F.expr(sql["__words"]).alias("__words")).select(key, F.expr("transform(arrays_zip(__raw, __words), z -> case when startswith(z.__words, '<') then z.__raw end)").alias(name))
     both = found.join(slotted(docs, "doc_id", "dslots"), "doc_id").join(slotted(benchmark, "item_id", "islots"), "item_id")
-    lined = F.expr("filter(zip_with(slice(dslots, pos + 1, size(islots)), slice(islots, ipos + 1, size(islots)), (d, i) -> named_struct('d', d, 'i', i)), z -> z.d is not null and z.i is not null)")
-    both = both.withColumn("pairs", F.array_distinct(lined))
-    both = both.withColumn("slots", F.expr("size(array_distinct(transform(pairs, z -> z.i)))"))
-    both = both.withColumn("consistency", F.expr("case when size(pairs) = 0 then 1.0d else double(slots) / size(pairs) end"))
+    lined = ("array_distinct(filter(zip_with(slice(dslots, p.pos + 1, size(islots)), slice(islots, p.ipos + 1, size(islots)), (d, i) -> named_struct('d', d, 'i', i)),"
+             " z -> z.d is not null and z.i is not null))")
+    both = both.select("doc_id", "item_id", "windows", "item_windows", F.expr(f"transform(places, p -> {lined})").alias("lined"))
+    tested = ("transform(transform(lined, x -> named_struct('pairs', size(x), 'slots', size(array_distinct(transform(x, z -> z.i))))),"
+              " y -> named_struct('consistency', case when y.pairs = 0 then 1.0d else double(y.slots) / y.pairs end, 'slots', y.slots))")
+    both = both.withColumn("best", F.array_max(F.expr(tested))).select("doc_id", "item_id", "windows", "item_windows", "best.slots", "best.consistency")
     return both.where(F.col("consistency") >= consistent).groupBy("doc_id", "item_id").agg(
         F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"), F.max("slots").alias("slots"), F.max("consistency").alias("consistency"))

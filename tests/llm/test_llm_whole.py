@@ -1,7 +1,7 @@
 """Corpus operators do the whole job; rows that a shorter reading would lose."""
 import pytest
 
-from quirefold.llm import licenses
+from quirefold.llm import decontaminate, licenses
 
 
 @pytest.mark.parametrize("text, label", [
@@ -13,3 +13,13 @@ from quirefold.llm import licenses
 def test_whole_licenses(spark, text, label):
     row = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row["labels"] == label and (row["score"] == 1) == bool(label)
+
+
+def test_contamination_later_copy(spark):
+    """An inconsistent passage of the same template comes first; alone it is no leak, before a verbatim copy it hides none."""
+    item = "the first train leaves the old station at 12 with 30 people and the second train comes home at 12 with 30 people"
+    other = item.replace("12", "99", 1).replace("30", "98", 1).replace("12", "77").replace("30", "76")
+    docs = [(1, f"{other} then {item}"), (2, other), (3, item), (4, f"{item} then {other}")]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["consistency"]) for r in got) == [(1, 1.0), (3, 1.0), (4, 1.0)]
