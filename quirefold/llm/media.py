@@ -90,7 +90,7 @@ def probe(media: bytes) -> dict:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store each text (null: empty) as samples, read it back and describe it; one row a document.
+    """Store each text (null: empty) as samples, read it back and describe it; one row a document, with the byte ranges of all keyframes.
 
     Equal texts give equal values; repeated rows, ties and empty texts (one frame of padding) are kept; an empty
     table gives an empty result; other columns are ignored. A task holds one document's bytes at a time.
@@ -108,8 +108,9 @@ def media_columns(docs: DataFrame) -> DataFrame:
                 keys = info["keyframes"]
                 rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media),
                              hashlib.sha256(media).hexdigest(),
-                             f"{info['codec']};{info['duration']:.3f};{len(info['sizes'])};{len(keys)};{keys[0][0]}+{keys[0][1]};{keys[-1][0]}+{keys[-1][1]}"))
+                             f"{info['codec']};{info['duration']:.3f};{len(info['sizes'])};{len(keys)};{keys[0][0]}+{keys[0][1]};{keys[-1][0]}+{keys[-1][1]}",
+                             [{"start": a, "bytes": n} for a, n in keys]))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes array<struct<start:long,bytes:long>>"
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select("doc_id", "text").mapInPandas(run, schema)

@@ -1,7 +1,7 @@
 """Corpus operators do the whole job; rows that a shorter reading would lose."""
 import pytest
 
-from quirefold.llm import decontaminate, licenses
+from quirefold.llm import decontaminate, licenses, media
 
 
 @pytest.mark.parametrize("text, label", [
@@ -23,3 +23,10 @@ def test_contamination_later_copy(spark):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert sorted((r["doc_id"], r["consistency"]) for r in got) == [(1, 1.0), (3, 1.0), (4, 1.0)]
+
+
+def test_media_all_keyframes(spark):
+    """35 frames have keyframes 1, 11, 21 and 31."""
+    row = media.media_columns(spark.createDataFrame([(1, "x" * (35 * media.FRAME))], "doc_id long, text string")).first()
+    first = row["keyframes"][0]["start"]
+    assert [tuple(k) for k in row["keyframes"]] == [(first + i * media.KEY_EVERY * media.FRAME, media.FRAME) for i in range(4)]
