@@ -106,29 +106,109 @@ def test_media_round_trip():
     assert len(info["keyframes"]) == 10 and info["codec"] == "raw"
 
 
+def plain_super_minhash(elements, m):
+    """Value by value, as defined: step j of an element draws r and swaps places j and k of its permutation."""
+    held = [float("inf")] * m
+    for e in elements:
+        order = list(range(m))
+        for j in range(m):
+            bits = int(neardup.mix(np.array([(int(e) + (j + 1) * int(neardup.GOLD)) % 2**64], dtype="u8"))[0])
+            k = j + (bits & 0xFFFFFFFF) % (m - j)
+            order[j], order[k] = order[k], order[j]
+            held[order[j]] = min(held[order[j]], j + (bits >> 32) / 2**32)
+    return held
+
+
 def test_super_minhash():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 1000).astype("u8")
     b = np.concatenate([a[:900], rng.integers(0, 2**63, 100).astype("u8")])
-    same = np.mean(neardup.signature(a, 256) == neardup.signature(b, 256))
-    assert abs(same - 900 / 1100) < 0.1
-    assert (neardup.signature(a, 96, block=64) == neardup.signature(a, 96)).all()
-
-
-def test_near_duplicates_against_brute_force(spark):
-    pdf = pd.read_parquet(f"{SMALL}/documents.parquet")
-    sets = {}
-    for i, text in zip(pdf.doc_id, pdf.text):
-        w = [x for x in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if x]
-        sets[i] = {tuple(w[j:j + 3]) for j in range(max(1, len(w) - 2))} if w else set()
+    both = neardup.signatures(np.concatenate([a, b]), np.array([1000, 1000]), 256)
+    assert abs(np.mean(both[0] == both[1]) - 900 / 1100) < 0.1
+    sizes = np.array([3, 0, 60, 1, 500])
+    e = rng.integers(0, 2**63, sizes.sum()).astype("u8")
+    got = neardup.signatures(e, sizes, 24)
+    assert (neardup.signatures(e, sizes, 24, block=64) == got).all()
+    ends = np.cumsum(sizes)
+    assert got.tolist() == [plain_super_minhash(e[b - n:b], 24) for b, n in zip(ends, sizes)]
+
+
+def test_shingle_sets():
+    """Equal words and only those hash alike, in any text of a run; sizes are those of the plain sets."""
+    rng = random.Random(4)
+    texts = ["", " \t", "One", "one two", "a b c a b c a", "x" * 40 + " y", "X" * 40 + " Y", "x" * 39 + "z y", "é É\u00a0é", "one\x0btwo\x1cthree"] + [" ".join(rng.choice("aAbBcC") for _ in range(rng.randint(0, 30))) for _ in range(50)]
+    import pyarrow as pa
+    for most in (1, 20, 1 << 20):
+        for k in (1, 3, 5):
+            got = []
+            for _, raw, bounds in neardup.parts(pa.RecordBatch.from_pydict({"text": [None, *texts]}), most):
+                sets, n = neardup.shingles(raw, bounds, k)
+                got += [frozenset(x.tolist()) for x in np.split(sets, np.cumsum(n)[:-1])]
+            plain = [plain_set(t, k) for t in ["", *texts]]
+            assert [len(x) for x in got] == [len(x) for x in plain]
+            for i in range(len(plain)):
+                for j in range(i):
+                    assert len(got[i] & got[j]) == len(plain[i] & plain[j])
+
+
+def plain_set(text, k):
+    w = [x for x in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if x]
+    return {tuple(w[j:j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def plain_components(texts, k, percent):
+    """{id: smallest id reachable} by comparing all sets with all."""
+    sets = {i: plain_set(t, k) for i, t in texts.items()}
     root = {i: i for i in sets}
     for i in sorted(sets):
         for j in sorted(sets):
-            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 lo, hi = sorted((root[i], root[j]))
-                root = {k: lo if v == hi else v for k, v in root.items()}
-    got = {r["doc_id"]: r["component_id"] for r in QUERIES["op9_near_duplicates"](spark, SMALL).collect()}
-    assert got == root
+                root = {x: lo if v == hi else v for x, v in root.items()}
+    return root, {i: len(s) for i, s in sets.items()}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    pdf = pd.read_parquet(f"{SMALL}/documents.parquet")
+    root, sizes = plain_components(dict(zip(pdf.doc_id, pdf.text)), 3, 85)
+    got = QUERIES["op9_near_duplicates"](spark, SMALL).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (sizes[i], root[i], root[i] == i) for i in root}
+
+
+def test_near_duplicates_five_words(spark):
+    """The pipeline's setting, on texts with growing edits."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = {}
+    for _ in range(12):
+        base = [word() for _ in range(80)]
+        for edits in range(6):
+            changed = list(base)
+            for _ in range(edits):
+                changed[rng.randrange(80)] = word()
+            texts[len(texts)] = " ".join(changed)
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), DOCS.rsplit(",", 1)[0])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == plain_components(texts, 5, 80)[0]
+
+
+def test_near_duplicates_odd_rows(spark):
+    """Values for nulls, blanks, repeated rows, a doc_id with two texts, copies under a null id and clashing columns."""
+    rows = [(1, "", "x"), (2, None, "y"), (3, " \n", "z"), (4, "a b c d e f", "u"), (4, "a b c d e f", "v"), (5, "A b c d e f", None), (6, "one", "n"),
+            (7, "ONE", "n"), (None, "a b c d e f", "w"), (None, "alone here", "w"), (8, "two texts of one id", "t"), (8, "another text", "t"), (9, "another text", "t")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id string"))
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    want = {(1, 0, 1, True): 1, (2, 0, 2, True): 1, (3, 0, 3, True): 1, (4, 2, 4, True): 2, (5, 2, 4, False): 1, (6, 1, 6, True): 1, (7, 1, 6, False): 1,
+            (None, 2, 4, True): 1, (None, 1, None, True): 1, (8, 1, 8, True): 2, (9, 1, 8, False): 1}
+    assert pd.Series([tuple(r) for r in got.collect()]).value_counts().to_dict() == want
+
+
+def test_hot_keys_meet(spark):
+    """A key with most rows is dealt over shares and loses none."""
+    from quirefold.llm.common import meet
+    big = spark.range(5000).selectExpr("id", "if(id < 4000, 7, id) as key")
+    small = spark.range(6000).selectExpr("id as key", "id * 2 as value")
+    got = meet(big, small, "key", share=100)
+    assert got.count() == 5000 and got.where("value != 2 * key").isEmpty()
 
 
 def test_pii(spark):
@@ -173,19 +253,11 @@ def test_links_between_followers(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == root and len(set(root.values())) == 60
 
 
-def test_sketch(spark):
-    rng = np.random.default_rng(6)
-    a = rng.random(96)
-    b = np.where(np.arange(96) < 40, rng.random(96), a)
-    row = spark.createDataFrame([(neardup.sketch(a), neardup.sketch(b))], "x array<long>, y array<long>").selectExpr(neardup.unlike("x", "y", 6) + " as n").first()
-    nibble = lambda v: int(neardup.mix(np.array([v]).view("u8"))[0]) & 15
-    assert row["n"] == sum(nibble(x) != nibble(y) for x, y in zip(a, b))
-
-
 def test_parity_never_overstates(spark):
     rng = np.random.default_rng(7)
     for n in (3, 300, 5000):
         a, b = (np.unique(rng.integers(0, 2**63, n).astype("u8")) for _ in range(2))
         b = np.union1d(a[n // 3:], b[n // 2:])
-        row = spark.createDataFrame([(neardup.parity(a), neardup.parity(b))], "x array<long>, y array<long>").selectExpr(neardup.apart("x", "y", 0) + " as n").first()
+        x, y = neardup.parities(np.concatenate([a, b]), np.array([len(a), len(b)])).tolist()
+        row = spark.createDataFrame([(x, y)], "x array<long>, y array<long>").selectExpr(neardup.apart("x", "y") + " as n").first()
         assert 0 < row["n"] <= len(np.setxor1d(a, b))
