@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from quirefold.llm import decontaminate, neardup, packing, pii, toxicity
-from quirefold.llm.common import table, written
+from quirefold.llm.common import restricted, table, written
 from quirefold.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -15,10 +15,16 @@ def not_toxic(spark, docs, sf_dir):
 
 
 def deduplicated(spark, docs, sf_dir):
-    """Keeps the smallest doc_id of each near-duplicate group (five words, 0.8), one row of it; rows of a null doc_id stay."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """Keeps the smallest doc_id of each near-duplicate group (five words, 0.8), one row of it; rows of a null doc_id stay.
+
+    Texts stay where they are, as only ids that go, and those of more than one row, are sent to them."""
+    gone = written(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    twice = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    kept = restricted(docs.select(COLUMNS), gone, "doc_id", "left_anti")
+    if twice.isEmpty():
+        return kept
+    again = restricted(kept, twice, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(COLUMNS), F.xxhash64(*COLUMNS)).alias("row"))
+    return restricted(kept, twice, "doc_id", "left_anti").union(again.select("row.*"))
 
 
 def decontaminated(spark, docs, sf_dir):
