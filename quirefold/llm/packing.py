@@ -1,39 +1,168 @@
 """Packing of token pieces into sequences: a plan over length counts, improved by swaps, then dealt out by rank."""
+import os
+import re
+import unicodedata
 import zlib
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 
-def pieces(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of each document's pieces; only longer ones are cut."""
-    def run(batches):
-        import os
+#: The pattern by which the byte-level model cuts text, for characters on which Python's classes agree with it.
+CUT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: White space of Unicode below U+2100.
+SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F]
+
+
+def agreed(c: str) -> bool:
+    """Whether Python's classes put a character where the model's do: letters, numbers, white space or the rest."""
+    kind, there = unicodedata.category(c), [bool(re.match(x, c)) for x in (r"[^\W\d_]", r"\d", r"\s")]
+    return there == [kind[0] == "L", kind[0] == "N", ord(c) in SPACES] and kind != "Cn"
+
+
+def unusual() -> re.Pattern:
+    """Characters on which they don't agree, and all from U+2100 on, whose classes may depend on the Unicode version."""
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x2100) if not agreed(chr(c))) + "\u2100-\U0010ffff]")
+
+
+def byte_signs() -> str:
+    """By byte the sign under which a byte-level vocabulary keeps it: printable ones themselves, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in own else chr(next(rest)) for b in range(256))
+
 
+class Words(dict):
+    """Numbers of words in order of their first appearance; new ones are also kept in ``new``."""
+
+    def __init__(self):
+        self.new = []
+
+    def __missing__(self, word):
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
+class Coder:
+    """Ids of texts by the tokenizer, each distinct word between its cuts coded once.
+
+    A byte-level model never merges across its cuts, so a text's ids are those of its words in a row. Blocks with unusual
+    characters go to the tokenizer as they are. Blocks end before a space between two letters or digits, where the model
+    always cuts. Beyond ``most`` held words all are forgotten, so memory stays bounded."""
+
+    def __init__(self, vocabulary: str, most: int = 600_000, block: int = 1 << 16):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = Tokenizer.from_file(vocabulary)
-        model.encode_special_tokens = True
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo:lo + 256]
+        self.model = Tokenizer.from_file(vocabulary)
+        self.model.encode_special_tokens = True
+        self.most, self.block, self.unusual, self.signs = most, block, unusual(), byte_signs()
+        self.forget()
+
+    def forget(self):
+        self.known, self.used = Words(), 0
+        self.starts, self.sizes, self.ids = np.empty(1 << 14, "i8"), np.empty(1 << 14, "i8"), np.empty(1 << 16, "<u4")
+
+    def blocks(self, text: str):
+        lo = 0
+        while len(text) - lo > self.block:
+            cut = SAFE_CUT.search(text, lo + self.block)
+            if cut is None:
+                break
+            yield text[lo:cut.start()]
+            lo = cut.start()
+        yield text[lo:]
+
+    def learn(self):
+        """Code the new words."""
+        code = self.model.model.tokenize
+        found = [[t.id for t in code(w.encode().decode("latin-1").translate(self.signs))] for w in self.known.new]
+        sizes = np.fromiter(map(len, found), "i8", len(found))
+        at, end = len(self.known) - len(found), self.used + int(sizes.sum())
+        while len(self.known) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while end > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.starts[at:len(self.known)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[at:len(self.known)] = sizes
+        self.ids[self.used:end] = [i for x in found for i in x]
+        self.used = end
+        self.known.new = []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.known) > self.most:
+            self.forget()
+        out = [[] for _ in texts]
+        at, counts, places = [], [], []
+        number = self.known.__getitem__
+        for i, text in enumerate(texts):
+            for block in self.blocks(text):
+                if self.unusual.search(block):
+                    out[i].append(np.array(self.model.encode(block, add_special_tokens=False).ids, "<u4"))
+                else:
+                    words = CUT.findall(block)
+                    at.append(np.fromiter(map(number, words), "i8", len(words)))
+                    places.append((i, len(out[i])))
+                    out[i].append(None)
+        if self.known.new:
+            self.learn()
+        if at:
+            counts = np.cumsum([len(x) for x in at])
+            at = np.concatenate(at)
+            sizes = self.sizes[at]
+            ends = np.cumsum(sizes)
+            ids = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+            ends = np.append(0, ends)
+            for (i, j), lo, hi in zip(places, np.append(0, counts[:-1]), counts):
+                out[i][j] = ids[ends[lo]:ends[hi]]
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+
+@lru_cache(maxsize=1)
+def coder(vocabulary: str) -> Coder:
+    """One for each Python worker, so that words stay known from task to task."""
+    return Coder(vocabulary)
+
+
+def runs(sizes: np.ndarray, most: int = 1 << 20):
+    """(from, to) of neighbours with about ``most`` in all, one at least."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def pieces(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids) of each document's pieces; only longer ones are cut."""
+    def run(batches):
+        code = coder(vocabulary)
+        end = np.array([end_id], "<u4")
+        for batch in batches:
+            column = batch.column("text")
+            for lo, hi in runs(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)):
                 rows = []
-                texts = part["text"].fillna("").tolist()
-                for doc_id, coded in zip(part["doc_id"], model.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = np.array([*coded.ids, end_id], dtype="<u4")
+                texts = [x or "" for x in column.slice(lo, hi - lo).to_pylist()]
+                for doc_id, ids in zip(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), code.encode(texts)):
+                    ids = np.append(ids, end)
                     first = len(ids) % room or room
                     for k, (a, b) in enumerate(zip([0, *range(first, len(ids), room)], range(first, len(ids) + 1, room))):
-                        rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b].astype("i8").tolist()] if with_ids else [])))
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                        rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b]), *([ids[a:b].tolist()] if with_ids else [])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def greedy(counts: dict[int, int], room: int) -> list[list]:
@@ -63,66 +192,80 @@ def greedy(counts: dict[int, int], room: int) -> list[list]:
     return plan
 
 
-def exchange(a: list[int], b: list[int], room: int):
-    """A move, a one-for-one or a two-for-one exchange that fills the fuller bin a from b, or None."""
-    gap = room - sum(a)
-    best = (0, None)
-    for i, y in enumerate(b):
-        if 0 < y <= gap and y > best[0]:
-            best = (y, ((), (i,)))
-        for k, x in enumerate(a):
-            if 0 < y - x <= gap and y - x > best[0]:
-                best = (y - x, ((k,), (i,)))
-    for i in range(min(len(b), 40)):
-        for j in range(i + 1, min(len(b), 40)):
-            for k, x in enumerate(a):
-                if 0 < b[i] + b[j] - x <= gap and b[i] + b[j] - x > best[0]:
-                    best = (b[i] + b[j] - x, ((k,), (i, j)))
-    if best[1] is None:
-        return None
-    out, into = best[1]
-    new_a = [x for k, x in enumerate(a) if k not in out] + [b[i] for i in into]
-    new_b = [y for i, y in enumerate(b) if i not in into] + [a[k] for k in out]
-    return new_a, new_b
-
-
-def improve(plan: list[list], room: int, steps: int = 2000) -> list[list]:
+def exchange(a: Counter, b: Counter, room: int):
+    """The move, one-for-one or two-for-one exchange that fills the fuller bin a from b most, as (out of a, into a), or None.
+
+    Bins are counts of lengths, of which a bin of 1024 holds at most 44 different ones."""
+    gap = room - sum(x * n for x, n in a.items())
+    ones = sorted(b)
+    offers = sorted([(y, (y,)) for y in ones] + [(y + z, (y, z)) for i, y in enumerate(ones) for z in ones[i:] if y != z or b[y] > 1])
+    sums = [s for s, _ in offers]
+    best, found = 0, None
+    for x in (0, *a):
+        i = bisect_right(sums, gap + x) - 1
+        while i >= 0 and sums[i] - x > best:
+            if x or len(offers[i][1]) == 1:
+                best, found = sums[i] - x, ((x,) if x else (), offers[i][1])
+                break
+            i -= 1
+    return found
+
+
+def improve(plan: list[list], room: int) -> list[list]:
     """Local search over underfull bins of like pattern: exchanges raise the squared fill until bins empty.
 
-    ``steps`` bounds the work, not the pieces: bins that it doesn't reach stay as they are.
+    It ends at the lower bound of bins, or where no exchange between any two patterns raises the squared fill. Work goes
+    with the number of patterns, which the room bounds, and not with that of pieces: copies of a pattern change together.
     """
-    whole = [p for p in plan if sum(x * n for x, n in p[0].items()) == room]
-    open_bins = Counter()
+    fill = lambda p: sum(x * n for x, n in p.items())
+    key = lambda p: tuple(sorted(p.items()))
+    whole = [p for p in plan if fill(p[0]) == room]
+    bins = Counter()
     for pattern, copies in plan:
-        if sum(x * n for x, n in pattern.items()) < room:
-            open_bins[tuple(sorted(Counter(pattern).elements()))] += copies
-    bound = -(-sum(sum(x * n for x, n in p.items()) * m for p, m in plan) // room)
-    done = set()
-    while steps > 0 and sum(m for _, m in whole) + sum(open_bins.values()) > bound:
-        order = sorted(open_bins, key=sum)
-        changed = False
-        for b in order[:64]:
-            for a in reversed(order):
-                steps -= 1
-                if sum(a) < sum(b) or (a == b and open_bins[a] < 2) or (a, b) in done:
+        if fill(pattern) < room:
+            bins[key(pattern)] += copies
+    used = sum(m for _, m in whole) + sum(bins.values())
+    bound = -(-sum(fill(p) * m for p, m in plan) // room)
+    size = {p: fill(dict(p)) for p in bins}
+    done: dict[tuple, set] = {}
+    order = sorted((n, p) for p, n in size.items())
+    while used > bound:
+        change = None
+        for low, b in order:
+            tried = done.setdefault(b, set())
+            for high, a in reversed(order):
+                if high < low:
+                    break
+                if a in tried or a == b and bins[a] < 2:
                     continue
-                if (new := exchange(list(a), list(b), room)) is None:
-                    done.add((a, b))
-                    continue
-                m = open_bins[a] // 2 if a == b else min(open_bins[a], open_bins[b])
-                open_bins.subtract({a: m})
-                open_bins.subtract({b: m})
-                for x in new:
-                    if x:
-                        open_bins[tuple(sorted(x))] += m
-                open_bins = +open_bins
-                changed = True
-                break
-            if changed or steps <= 0:
+                if (change := exchange(Counter(dict(a)), Counter(dict(b)), room)) is not None:
+                    break
+                tried.add(a)
+            if change is not None:
                 break
-        if not changed:
+        if change is None:
             break
-    return whole + [[dict(Counter(p)), n] for p, n in open_bins.items()]
+        m = bins[a] // 2 if a == b else min(bins[a], bins[b])
+        out, into = change
+        for old in (a, b):
+            bins[old] -= m
+            if not bins[old] and old in size:
+                del bins[old]
+                done.pop(old, None)
+                order.remove((size.pop(old), old))
+        full, rest = Counter(dict(a)) - Counter(out) + Counter(into), Counter(dict(b)) - Counter(into) + Counter(out)
+        if not rest:
+            used -= m
+        for new in (full, rest):
+            if fill(new) == room:
+                whole.append([dict(new), m])
+            elif new:
+                if (p := key(new)) not in size:
+                    size[p] = fill(new)
+                    insort(order, (size[p], p))
+                    done.setdefault(p, set())
+                bins[p] += m
+    return whole + [[dict(p), n] for p, n in bins.items() if n]
 
 
 def slots(plan: list[list]) -> dict[int, tuple]:

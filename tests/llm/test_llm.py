@@ -225,12 +225,58 @@ def test_contamination(spark):
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, bench).collect()] == [(1, 7)]
 
 
+def plain_pieces(doc_id, ids, room=1024):
+    """(doc_id, piece, start, length, crc) by the contract: pieces of 1024, the first may be shorter."""
+    starts = sorted({max(0, len(ids) - i * room) for i in range(-(-len(ids) // room) + 1)} - {len(ids)})
+    return [(doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)]))]
+
+
 def test_packing(spark):
+    """Pieces against plain tokenizers; sequences hold at most 1024 without gaps and are near the lower bound."""
+    from tokenizers import Tokenizer
+    model = Tokenizer.from_file(vocabulary())
+    model.encode_special_tokens = True
     out = QUERIES["op10_packing"](spark, SMALL).toPandas()
+    docs = pd.read_parquet(f"{SMALL}/documents.parquet")
+    want = [p for i, t in zip(docs.doc_id, docs.text) for p in plain_pieces(i, [*model.encode(t or "", add_special_tokens=False).ids, 2])]
+    assert sorted(map(tuple, out[["doc_id", "piece", "start", "length", "ids_crc32"]].values.tolist())) == sorted(want)
     for _, g in out.sort_values("offset").groupby("sequence_id"):
         assert g.length.sum() <= 1024 and (g.offset.values == g.length.cumsum().values - g.length.values).all()
-    assert out.sequence_id.nunique() <= -(-out.length.sum() // 1024) * 1.03 + 1
-    assert zlib.crc32(np.array([2], "<u4").tobytes()) == packing.pieces(spark.createDataFrame([(1, None)], "doc_id long, text string"), vocabulary()).first()["ids_crc32"]
+    assert out.sequence_id.nunique() <= -(-out.length.sum() // 1024) + 2
+
+
+def test_packing_odd_rows(spark):
+    rows = [(1, "", 5), (1, "", 5), (2, None, 6), (None, "one two", 7), (4, "w " * 3000, 8)]
+    got = packing.best_fit_pack(spark.createDataFrame(rows, "doc_id long, text string, length int"), vocabulary()).toPandas()
+    assert got.doc_id.isna().sum() == 1 and (got.doc_id == 1).sum() == 2 and got[got.doc_id == 4].length.sum() > 3000
+    assert got[got.doc_id == 2].ids_crc32.tolist() == [zlib.crc32(np.array([2], "<u4").tobytes())]
+
+
+def test_coder_against_tokenizers():
+    """Cached words give the tokenizer's ids: all signs below U+2100 between spaces and letters, contractions, long blocks."""
+    code = packing.Coder(vocabulary(), most=500, block=64)
+    rng = random.Random(9)
+    texts = [x.join(f"{a}{chr(c)}{b}" for c in range(lo, lo + 64) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x2200, 64) for x, a, b in (("a", " ", "b"), (" ", "", ""), ("'", "", "ll"))]
+    texts += ["", " ", "a  b\n\n c \t", "it's we'll 'tis I'D '' 's", "x" * 500, "<|endoftext|> a", "\U0001f600 é ñ 東京 12½"]
+    texts += ["".join(rng.choice(["ab", " ", "\n", "'", "s", "12", ".", "é", "_", "\u00a0", "²"]) for _ in range(rng.randint(1, 200))) for _ in range(200)]
+    want = [code.model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in code.encode(texts)] == want
+    assert [x.tolist() for t in texts for x in code.encode([t])] == want
+
+
+def test_packing_search():
+    """Exchanges keep all pieces, never add bins, and end where no exchange raises the squared fill."""
+    rng = random.Random(10)
+    for _ in range(30):
+        counts = {x: rng.randint(1, 9) for x in rng.sample(range(1, 41), 12)}
+        first = packing.greedy(dict(counts), 40)
+        plan = packing.improve(first, 40)
+        held = {}
+        for pattern, copies in plan:
+            assert sum(x * n for x, n in pattern.items()) <= 40
+            for x, n in pattern.items():
+                held[x] = held.get(x, 0) + n * copies
+        assert held == counts and sum(m for _, m in plan) <= sum(m for _, m in first)
 
 
 def test_links_between_followers(spark):
