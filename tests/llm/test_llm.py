@@ -219,10 +219,46 @@ def test_pii(spark):
     assert clean == "mail <EMAIL> or <IP>, <PHONE>, card <CARD> and 999.1.1.1"
 
 
+ITEM = "a train leaves at 12 with 30 people and arrives at 15 with 40 people on board"
+
+
+def leaks(spark, docs, items, **more):
+    pairs = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), **more)
+    return sorted((r["doc_id"], r["item_id"]) for r in pairs.collect())
+
+
 def test_contamination(spark):
-    bench = spark.createDataFrame([(7, "a train leaves at 12 with 30 people and arrives at 15 with 40 people on board")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "so a train leaves at 13 with 31 people and arrives at 16 with 41 people on board today"), (2, "nothing of it"), (3, None)], "doc_id long, text string")
-    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, bench).collect()] == [(1, 7)]
+    docs = [(1, "so a train leaves at 13 with 31 people and arrives at 16 with 41 people on board today"), (2, "nothing of it"), (3, None), (4, ""), (1, "again"), (None, ITEM), (5, ITEM.replace("at 12", "at 9").replace("30", "9").replace("15", "9").replace("40", "9")),
+            (6, ITEM.replace("12", "10").replace("30", "20").replace("15", "10"))]
+    assert leaks(spark, docs, [(7, ITEM), (8, None), (None, ITEM)]) == [(1, 7), (6, 7)]
+    assert leaks(spark, docs, [(7, ITEM)], small=0) == [(1, 7), (6, 7)]
+    assert leaks(spark, [], [(7, ITEM)]) == leaks(spark, docs, []) == []
+
+
+def test_contamination_short_and_names(spark):
+    """Short items inside longer texts, placeholders alone as whole documents only, renamed persons at sentence starts."""
+    items = [(1, "what is the capital of france"), (2, "Anna has 3"), (3, "Maria buys 5 apples and then Maria gives 2 of the apples to Peter in the old market")]
+    docs = [(1, "He asked: what is the capital of france? Nobody knew."), (2, "Here Otto has 7 dogs"), (3, "Otto has 7"),
+            (4, "Well. Julia buys 8 apples and then Julia gives 4 of the apples to Robert in the old market.")]
+    assert leaks(spark, docs, items) == [(1, 1), (3, 2), (4, 3)]
+
+
+def test_contamination_recall(spark):
+    """Every re-parameterised copy of benchmark items with slots is found, in texts around it, and no text without one."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    items, docs, want = [], [], []
+    for i in range(20):
+        parts = [word() for _ in range(rng.randint(16, 40))]
+        for j in rng.sample(range(len(parts)), 4):
+            parts[j] = rng.choice(["{n}", "{p}"])
+        fill = lambda: " ".join(str(rng.randint(10, 99999)) if x == "{n}" else word().capitalize() if x == "{p}" else x for x in parts)
+        items.append((i, fill()))
+        for _ in range(3):
+            docs.append((len(docs), " ".join(word() for _ in range(30)) + " " + fill() + " " + " ".join(word() for _ in range(30))))
+            want.append((len(docs) - 1, i))
+        docs.append((len(docs), " ".join(word() for _ in range(90))))
+    assert leaks(spark, docs, items) == want
 
 
 def plain_pieces(doc_id, ids, room=1024):
