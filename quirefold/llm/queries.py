@@ -37,7 +37,7 @@ def op5_toxicity(spark, sf_dir):
 
 def op6_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pii_spans(docs, pii.train(docs)).drop("text", "found")
+    return pii.pii_spans(docs, pii.train(spark)).drop("text", "found")
 
 
 def op7_secrets(spark, sf_dir):

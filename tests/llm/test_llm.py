@@ -219,6 +219,57 @@ def test_pii(spark):
     assert clean == "mail <EMAIL> or <IP>, <PHONE>, card <CARD> and 999.1.1.1"
 
 
+def luhn(d):
+    return sum(sum(divmod(2 * int(x), 10)) if i % 2 else int(x) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+def plain_pii(text):
+    """Base spans as the contract states them, by kind, with Python's re."""
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    kinds = [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True), (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+             (r"[0-9]([\x20-]?[0-9])+", lambda x: 12 <= len(digits(x)) <= 19 and luhn(digits(x))), (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15)]
+    return [[(m.start(), m.end()) for m in re.finditer(p, text) if ok(m[0])] for p, ok in kinds]
+
+
+def test_pii_against_plain_regex(spark):
+    """Counts and digests of the query on all documents, and of hard texts, against plain patterns; added spans keep off base ones."""
+    docs = pd.read_parquet(f"{SMALL}/documents.parquet")
+    rng = random.Random(12)
+    signs = ["a", "@", ".", "-", "1", "4", "11", "255", "256", "+", " ", "(", ")", "é", "\U0001f600", "4111 1111 1111 1111", "b.c"]
+    hard = {-i: "".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for i in range(1, 300)} | {-300: "x 10.0.0.1 +34 600 123 456 " * 700}
+    model = pii.train(spark)
+    got = QUERIES["op6_pii"](spark, SMALL).collect() + pii.pii_spans(spark.createDataFrame(list(hard.items()), "doc_id long, text string"), model).collect()
+    texts = dict(zip(docs.doc_id, docs.text)) | hard
+    assert len(got) == len(texts)
+    for r in got:
+        found = plain_pii(texts[r["doc_id"]] or "")
+        base = sorted((a, k, b) for k, spans in enumerate(found) for a, b in spans)
+        say = ",".join(f"{pii.NAMES[k]}:{a}:{b}" for a, k, b in base)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [len(x) for x in found] and r["base_sha256"] == hashlib.sha256(say.encode()).hexdigest(), r
+        every = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        more = [x for x in every if (x[1], pii.NAMES.index(x[0]), x[2]) not in base]
+        assert len(every) == len(base) + len(more) and not any(a < d and c < b for _, a, b in more for c, _, d in base)
+
+
+def test_pii_trees(spark):
+    """What the base patterns miss is found and typed; look-alikes are left."""
+    model = pii.train(spark)
+    good = {"phone me on 600 123 456 today": ["phone:12:23"], "write to ana (at) mail (dot) com": ["email:9:32"], "4111 1111 1111 1111 5500 0000 0000 0004": ["card:0:19", "card:20:39"]}
+    bad = ["order 1234567890123456 came", "from 1999-2005 in Rome", "on 2024-01-15 12.30", "1 234 567 people", "apples @ 3.50 each", "isbn 978-3-16-148410-0", "the 1234567812345678 of it"]
+    rows = [(i, t) for i, t in enumerate([*good, *bad])]
+    got = {r["text"]: r["spans"].split(",") if r["spans"] else [] for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == good | {t: [] for t in bad}
+
+
+def test_pii_odd_rows(spark):
+    model = {"trees": [], "threshold": None}
+    rows = [(1, "", "x"), (2, None, "y"), (None, "a@b.cc", "z"), (3, "a@b.cc", None), (3, "a@b.cc", None)]
+    out = pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string, spans string"), model)
+    got = sorted(((r["doc_id"], r["n_email"], r["spans"], r["text"]) for r in pii.redact(out).collect()), key=str)
+    assert got == [(1, 0, "", ""), (2, 0, "", None), (3, 1, "email:0:6", "<EMAIL>"), (3, 1, "email:0:6", "<EMAIL>"), (None, 1, "email:0:6", "<EMAIL>")]
+    assert pii.redact(pii.pii_spans(spark.createDataFrame([], "doc_id long, text string"), model)).isEmpty()
+
+
 ITEM = "a train leaves at 12 with 30 people and arrives at 15 with 40 people on board"
 
 
