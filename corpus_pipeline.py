@@ -35,7 +35,7 @@ def decontaminated(spark, docs, sf_dir):
 
 def redacted(spark, docs, sf_dir):
     """Replaces personal data in the texts; n_chars follows."""
-    clean = pii.redact(pii.pii_spans(docs, pii.train(docs)))
+    clean = pii.redact(pii.pii_spans(docs, pii.train(spark)))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
