@@ -16,7 +16,7 @@ LONGS = PARITY // 64
 #: Bytes of a word that the table of the word hash covers; longer words are hashed whole by xxhash.
 WIDTH = 32
 #: Counters of shingles by which rare ones are told from frequent ones; a fixed number at any size of the input.
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +79,7 @@ def shingles(raw: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, n
     return out[keep], np.bincount(owner[keep], minlength=len(n))
 
 
-def signatures(elements: np.ndarray, sizes: np.ndarray, m: int, block: int = 1 << 16) -> np.ndarray:
+def signatures(elements: np.ndarray, sizes: np.ndarray, m: int, block: int = 1 << 14) -> np.ndarray:
     """SuperMinHash values, m for each set; elements holds the sets one after another.
 
     Element by element, step j puts r + j at the j-th place of its random permutation; a set's steps stop once j exceeds
@@ -138,7 +138,7 @@ def apart(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(LONGS))
 
 
-def parts(batch: pa.RecordBatch, most: int = 1 << 20):
+def parts(batch: pa.RecordBatch, most: int = 1 << 19):
     """(rows, bytes, bounds) of runs of texts of about ``most`` bytes, at least one text each; null texts are empty."""
     text = batch.column("text").cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset:text.offset + len(text) + 1]
@@ -229,35 +229,52 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """rep, shingle, first: of each set the rarest shingles, of which two near sets share one at least.
-
-    Rare is by the counter of a shingle, ties by its hash: one order for all sets, as prefix filtering needs. Of the
-    smaller set of a pair those marked first suffice, as the pair's common part is larger in relation to it. A shingle
-    whose counter is one stands in one set alone and meets nothing, so it only shortens the rest."""
-    count = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
-
-    def run(batches):
-        often = count.value
-        for batch in batches:
-            ids, column = batch.column("rep").to_numpy(), batch.column("shingles")
-            at = np.asarray(column.offsets)
-            values = column.values.to_numpy()
-            reps, found, first = [], [], []
-            for rep, a, b in zip(ids, at[:-1], at[1:]):
-                s, n = values[a:b], int(b - a)
-                if not n:
-                    continue
-                c = often[s & (SLOTS - 1)]
-                rank = np.lexsort((s, c))[:n - (n * percent + 99) // 100 + 1]
-                lead = np.arange(len(rank)) < n - (n * 2 * percent + 99 + percent) // (100 + percent) + 1
-                met = c[rank] > 1
-                found.append(s[rank][met])
-                first.append(lead[met])
-                reps.append(np.full(int(met.sum()), rep))
-            if reps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (reps, found, first)], names=["rep", "shingle", "first"])
-    return sets.select("rep", "shingles").mapInArrow(run, "rep long, shingle long, first boolean")
+def prefixes(sets: DataFrame, percent: int, frequent: int = 500, listed: int = 100_000) -> DataFrame:
+    """rep, shingle, first: of each set the rarest shingles, of which two near sets share one at least; written.
+
+    Rare is by the counter of a shingle, ties by its hash: one order for all sets, as prefix filtering needs. Counters mix
+    shingles, so those that a first pass finds in more than ``frequent`` prefixes, the ``listed`` most frequent of them,
+    go to the end of the order in a second pass; that changes the work, and no link. Of the smaller set of a pair those
+    marked first suffice, as the pair's common part is larger in relation to it. A shingle whose counter is one stands in
+    one set alone and meets nothing, so it only shortens the rest."""
+    spark = sets.sparkSession
+    often = frequencies(sets)
+
+    def ranked(common: np.ndarray, places: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((often, common, places))
+
+        def run(batches):
+            often, common, places = shared.value
+            for batch in batches:
+                ids, column = batch.column("rep").to_numpy(), batch.column("shingles")
+                at = np.asarray(column.offsets)
+                values = column.values.to_numpy()
+                reps, found, first = [], [], []
+                for rep, a, b in zip(ids, at[:-1], at[1:]):
+                    s, n = values[a:b], int(b - a)
+                    if not n:
+                        continue
+                    c = often[s & (SLOTS - 1)].astype(np.int64)
+                    if len(common):
+                        i = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                        c = np.where(common[i] == s, places[i] + (1 << 32), c)
+                    rank = np.lexsort((s, c))[:n - (n * percent + 99) // 100 + 1]
+                    lead = np.arange(len(rank)) < n - (n * 2 * percent + 99 + percent) // (100 + percent) + 1
+                    met = c[rank] > 1
+                    found.append(s[rank][met])
+                    first.append(lead[met])
+                    reps.append(np.full(int(met.sum()), rep))
+                if reps:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (reps, found, first)], names=["rep", "shingle", "first"])
+        return written(sets.select("rep", "shingles").mapInArrow(run, "rep long, shingle long, first boolean"), "prefixes")
+
+    out = ranked(np.empty(0, np.int64), np.empty(0, np.int64))
+    counts = out.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > frequent)
+    rows = sorted(map(tuple, counts.orderBy(F.desc("n"), "shingle").limit(listed).collect()))
+    if not rows:
+        return out
+    spent(out)
+    return ranked(*(np.array(c, dtype=np.int64) for c in zip(*rows)))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -305,8 +322,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     inside = written(inside, "inside")
     if not inside.isEmpty():
         sets = written(shingle_sets(restricted(docs, opened.withColumnRenamed("rep", "doc_id"), "doc_id"), k), "sets")
-        keyed = prefixes(sets, percent).join(inside.select("rep", "component"), "rep")
-        keyed = written(keyed, "prefixes")
+        rare = prefixes(sets, percent)
+        keyed = written(rare.join(inside.select("rep", "component"), "rep"), "keyed")
         mixed = written(keyed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("shingle", "n"), "mixed")
         keyed = meet(keyed, mixed.select("shingle"), "shingle", mixed).join(inside.drop("component"), "rep")
         lead = keyed.where("first").select("shingle", F.struct("rep", "n", "component", "parity").alias("lead"))
@@ -315,7 +332,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         more = written(found.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct(), "pairs")
         named = written(ids_of(more), "ids")
         extra = confirmed(more, restricted(sets, named, "rep"), percent)
-        spent(sets, mixed, more, named)
+        spent(sets, rare, mixed, more, named)
         if not extra.isEmpty():
             comp = components(links.union(extra))
     spent(met, buckets, reps, opened)

@@ -37,21 +37,26 @@ def fit(texts: list[str], labels: list[int], words: int = 300, rounds: int = 200
     They must also stand between as many different neighbours in toxic texts as a fiftieth of these texts, three at
     least: the words of one text that has many copies always stand between the same.
     """
-    df, places = [Counter(), Counter()], set()
     n = [Counter(labels)[0], Counter(labels)[1]]
-    for text, y in zip(texts, labels):
-        found = WORD.findall(text.lower())
-        df[y].update({u for w in set(found) for u in units(w)})
-        if y:
-            places.update((u, a, b) for w, a, b in zip(found, ["", *found], [*found[1:], ""]) for u in units(w))
-    apart = Counter(w for w, _, _ in places)
-    picked = []
-    for w, hits in df[1].items():
-        a, b = hits / max(n[1], 1), df[0][w] / max(n[0], 1)
-        pool = (hits + df[0][w]) / max(sum(n), 1)
+    each = lambda text: {u for w in set(WORD.findall(text.lower())) for u in units(w)}
+    hits = Counter(u for text, y in zip(texts, labels) if y for u in each(text))
+    hits = {u: k for u, k in hits.items() if k >= 3}
+    others = Counter(u for text, y in zip(texts, labels) if not y for u in each(text) if u in hits)
+    marks = {}
+    for w, k in hits.items():
+        a, b = k / max(n[1], 1), others[w] / max(n[0], 1)
+        pool = (k + others[w]) / max(sum(n), 1)
         se = math.sqrt(pool * (1 - pool) * (1 / max(n[1], 1) + 1 / max(n[0], 1))) or 1.0
-        if hits >= 3 and apart[w] >= max(3, n[1] / 50) and (a - b) / se > 3.5 and a > 2 * b:
-            picked.append(((a - b) / se, w))
+        if (a - b) / se > 3.5 and a > 2 * b:
+            marks[w] = (a - b) / se
+    places = {w: set() for w in marks}
+    for text in (t for t, y in zip(texts, labels) if y):
+        found = WORD.findall(text.lower())
+        for w, a, b in zip(found, ["", *found], [*found[1:], ""]):
+            for u in units(w):
+                if u in places:
+                    places[u].add((a, b))
+    picked = [(z, w) for w, z in marks.items() if len(places[w]) >= max(3, n[1] / 50)]
     vocabulary = {w: i for i, (_, w) in enumerate(sorted(picked, reverse=True)[:words])}
     bags, sents, feats, y = [], [], [], []
     for text, label in zip(texts, labels):
