@@ -28,8 +28,8 @@ def comma_list(c) -> Column:
 
 
 def id_list(c) -> Column:
-    """Distinct runs of digits, as they come."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]+"), 0), lambda x: x.cast("long")))
+    """Distinct runs of digits as numbers, as they come; runs too long for one are left out."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]+"), 0), lambda x: x.try_cast("long")), lambda x: x.isNotNull()))
 
 
 def blank_null(c) -> Column:
@@ -92,3 +92,57 @@ def entropy_label(h_norm, reliable) -> Column:
 
 def few_authors(n, least: int = 5) -> Column:
     return F.when(n < least, F.format_string("%d autores de referencia", n))
+
+
+def author_warning(n, label: str, least: int = 3) -> Column:
+    """Too few texts of an author for a reliable trajectory."""
+    return F.when(n == 0, F.lit(f"Este autor no tiene {label} en español.")).when(n < least, F.format_string(f"Este autor tiene solo %d {label} publicado(s); los resultados pueden ser poco fiables.", n))
+
+
+def trend_label(points, difference) -> Column:
+    """From the number of points of a trajectory and its last less its first z-score."""
+    return (F.when(points < 2, "Sin datos suficientes").when(difference > 0.5, "Innovador (z-score creciente: el autor se aleja de la norma)")
+            .when(difference < -0.3, "Convergente (z-score decreciente: el autor se acerca a la norma)").otherwise("Estable (variación inferior a 0,3σ)"))
+
+
+def two_decimals(c) -> Column:
+    """Two decimals by the exact binary value; an exact half goes up."""
+    x = c.cast("double")
+    half = (x * 8 == F.floor(x * 8)) & (F.floor(x * 8) % 2 != 0)
+    return F.replace(F.format_number(F.when(half, (F.floor(x * 100) + 1) / 100).otherwise(x), 2), F.lit(","), F.lit(""))
+
+
+def activity(*counts) -> Column:
+    """Sum of counts, null ones as none."""
+    return sum((F.coalesce(c, F.lit(0)) for c in counts), F.lit(0))
+
+
+def vector(c) -> Column:
+    """JSON text of a vector to its numbers."""
+    return F.from_json(c, "array<double>")
+
+
+def vector_text(c) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
+def file_key(c) -> Column:
+    """Name of a file or title for matching: without extension, underscores as spaces, folded and collapsed."""
+    name = F.regexp_replace(F.regexp_replace(c, "^.*/", ""), r"(?<=.)\.[^.]*$", "")
+    return T.collapse(T.fold(F.replace(name, F.lit("_"), F.lit(" "))))
+
+
+def title_name(c) -> Column:
+    """Key of a title that file_key() of its image file equals."""
+    return T.collapse(T.fold(F.replace(F.coalesce(c, F.lit("")), F.lit("_"), F.lit(" "))))
+
+
+def filled_place(lat, lng, found_lat, found_lng) -> tuple[Column, Column]:
+    """Coordinates of a known city where either is missing."""
+    missing = (lat.isNull() | lng.isNull()) & found_lat.isNotNull()
+    return F.when(missing, found_lat).otherwise(lat), F.when(missing, found_lng).otherwise(lng)
+
+
+def colour(place, colours=("#2563eb", "#dc2626", "#059669", "#d97706"), other: str = "#6b7280") -> Column:
+    """Colour by the place of an author in the request, from 1 on."""
+    return F.coalesce(F.get(F.array(*(F.lit(x) for x in colours)), place - 1), F.lit(other))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Scope:
-    """Optional restrictions; None leaves a side open. Null flags count as false, null years fail year bounds."""
+    """Optional restrictions; None leaves a side open, and an empty list matches nothing. Null flags count as false, null years fail year bounds."""
 
     languages: tuple[str, ...] | None = None
     adverts: bool | None = None
@@ -18,8 +18,11 @@ class Scope:
     year_from: int | None = None
     year_to: int | None = None
     issue: int | None = None
+    themes: tuple[str, ...] | None = None
+    ids: tuple[int, ...] | None = None
+    published: bool | None = None
 
-    def apply(self, articles: DataFrame, authors: DataFrame | None = None) -> DataFrame:
+    def apply(self, articles: DataFrame, authors: DataFrame | None = None, themes: DataFrame | None = None) -> DataFrame:
         if self.issue is not None and self.magazine is None:
             raise ValueError("an issue number needs a magazine")
         df, flag = articles, lambda c: F.coalesce(c, F.lit(False))
@@ -36,6 +39,12 @@ class Scope:
             df = df.where(F.col("year") >= self.year_from)
         if self.year_to is not None:
             df = df.where(F.col("year") <= self.year_to)
+        if self.ids is not None:
+            df = df.where(F.col("article_id").isin(*self.ids) if self.ids else F.lit(False))
+        if self.published is not None:
+            df = df.where(F.col("published_at").isNotNull() == self.published)
+        if self.themes is not None:
+            df = df.join(themes.where(F.col("theme").isin(*self.themes) if self.themes else F.lit(False)), "article_id", "left_semi")
         if self.author is not None:
             df = df.join(authors.where(F.col("author") == self.author), "article_id", "left_semi")
         return df
@@ -57,3 +66,10 @@ def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = F.concat(F.lit("a"), F.col("doc_id") % 23), F.concat(F.lit("a"), F.col("doc_id") % 7)
     names = F.when((F.col("doc_id") % 5 == 0) & (first != second), F.array(first, second)).otherwise(F.array(first))
     return docs.select(F.col("doc_id").alias("article_id"), F.posexplode(names).alias("place", "author")).withColumn("place", F.col("place") + 1)
+
+
+def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """article_id, theme: one theme an article, every fourth has a second."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("article_id"))
+    theme = lambda n: F.concat(F.lit("t"), (F.col("article_id") % n).cast("string")).alias("theme")
+    return docs.select("article_id", theme(9)).union(docs.where("article_id % 4 = 0").select("article_id", theme(5))).distinct()

@@ -70,6 +70,15 @@ def successors(words: DataFrame, word: str, k: int | None = 10) -> DataFrame:
     return out.orderBy(F.desc("n"), "successor").limit(k) if k else out
 
 
+def predecessors(words: DataFrame, word: str, k: int | None = 10) -> DataFrame:
+    """p = n(before, word) / n(word)."""
+    held = words.where(F.array_contains("words", word))
+    total = unigrams(held).where(F.col("word") == word).select("word", F.col("n").alias("total"))
+    out = bigrams(held).where(F.col("successor") == word).select(F.col("word").alias("predecessor"), F.col("successor").alias("word"), "n").join(total, "word")
+    out = out.select("predecessor", "n", (F.col("n") / F.col("total")).alias("p"))
+    return out.orderBy(F.desc("n"), "predecessor").limit(k) if k else out
+
+
 def entropy(words: DataFrame) -> DataFrame:
     """Per word: frequency, successor entropy in bits, its maximum, normalised value and reliability (5 or more)."""
     out = bigrams(words).join(unigrams(words).withColumnRenamed("n", "total"), "word").withColumn("p", F.col("n") / F.col("total"))

@@ -25,11 +25,55 @@ def classify(new: DataFrame, existing: DataFrame, keys: list[list[str]]) -> Data
 
 
 def unique_slugs(rows: DataFrame, slug: str, existing: DataFrame, order: list[str]) -> DataFrame:
-    """Slugs taken before, or by an earlier new row, get a counter; existing has the slug column."""
-    w = Window.partitionBy(slug).orderBy(*order)
-    taken = existing.select(slug).distinct().withColumn("__taken", F.lit(1))
-    n = F.row_number().over(w) + F.coalesce("__taken", F.lit(0)) - 1
-    return rows.join(taken, slug, "left").withColumn("__n", n).withColumn(slug, F.when(F.col("__n") > 0, F.concat_ws("-", slug, "__n")).otherwise(F.col(slug))).drop("__taken", "__n")
+    """Each row its own slug: a slug not in existing stays with its first row, the others get the free counters in order.
+
+    A counter is free unless existing, or a row that keeps its slug, has the slug with that counter. Two different slugs
+    never give the same one, as the last hyphen and number part it. A null slug counts as empty."""
+    rows = rows.withColumn(slug, F.coalesce(slug, F.lit("")))
+    there = existing.select(slug).where(F.col(slug).isNotNull()).distinct().withColumn("__there", F.lit(1))
+    ranked = rows.join(there, slug, "left").withColumn("__n", F.row_number().over(Window.partitionBy(slug).orderBy(*order)) - 1 + F.coalesce("__there", F.lit(0)))
+    held = rows.select(slug).union(existing.select(slug)).where(F.col(slug).rlike("-[1-9][0-9]{0,8}$")).distinct()
+    taken = held.select(F.regexp_extract(slug, "^(?s)(.*)-[0-9]+$", 1).alias(slug), F.regexp_extract(slug, "([0-9]+)$", 1).cast("int").alias("k"))
+    taken = taken.groupBy(slug).agg(F.array_sort(F.collect_set("k")).alias("__taken"))
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<int>")), F.col("__n"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+    out = ranked.join(taken, slug, "left").withColumn(slug, F.when(F.col("__n") > 0, F.concat_ws("-", slug, free)).otherwise(F.col(slug)))
+    return out.drop("__there", "__taken", "__n")
+
+
+def theme_links(rows: DataFrame, themes: DataFrame, column: str = "theme") -> DataFrame:
+    """rows with theme_id of themes(id, name), by name without regard to case and edges; unknown names are dropped."""
+    key = lambda c: F.lower(T.trim(F.col(c)))
+    known = themes.groupBy(key("name").alias("__k")).agg(F.min("id").alias("theme_id"))
+    return rows.withColumn("__k", key(column)).join(known, "__k").drop("__k")
+
+
+def image_files(titles: DataFrame, files: DataFrame) -> DataFrame:
+    """titles(title) with the path of the image file of that name, null without one; the last of several files counts."""
+    named = files.groupBy(V.file_key(F.col("path")).alias("__k")).agg(F.max("path").alias("path"))
+    return titles.withColumn("__k", V.title_name(F.col("title"))).join(named, "__k", "left").drop("__k")
+
+
+def seeded(table: DataFrame, seed: DataFrame) -> DataFrame:
+    """The table, or the seed rows where it is empty."""
+    return seed if table.isEmpty() else table
+
+
+def cascade(owners: DataFrame, gone: DataFrame, owned: DataFrame, key: str, owner: str) -> tuple[DataFrame, DataFrame]:
+    """(owners, owned) without those whose key is in gone."""
+    gone = gone.select(key).distinct()
+    return owners.join(gone, key, "left_anti"), owned.join(gone.withColumnRenamed(key, owner), owner, "left_anti")
+
+
+def by_id(pages: DataFrame, key: str = "id") -> DataFrame:
+    """One row an id of landed pages."""
+    return pages.dropDuplicates([key])
+
+
+def missing_keys(wanted: list[str], table: DataFrame, key: str) -> list[str]:
+    """Requested keys that the table lacks, in order of the request, each once."""
+    wanted = list(dict.fromkeys(wanted))
+    found = {r[0] for r in table.where(F.col(key).isin(*wanted)).select(key).distinct().collect()} if wanted else set()
+    return [w for w in wanted if w not in found]
 
 
 def valid(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:

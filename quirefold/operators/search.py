@@ -19,7 +19,9 @@ def boolean(articles: DataFrame, first: str, then: list[tuple[str, str]] = [], c
     if len(first.strip()) < 3 or not columns:
         raise ValueError("a search needs a term of three letters and a column")
     keep = clause(columns, first)
-    for op, term in then[:2]:
+    if len(then) > 2:
+        raise ValueError("a search has three terms at most")
+    for op, term in then:
         if op not in ("AND", "OR", "NOT") or len(term.strip()) < 3:
             break
         c = clause(columns, term)

@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import values as V
 
 
 def tfidf(groups: DataFrame, by: list[str], column: str = "body", stopwords=T.STOPWORDS) -> DataFrame:
@@ -41,6 +42,19 @@ def drift(articles: DataFrame, authors: DataFrame) -> DataFrame:
     return each.crossJoin(F.broadcast(stats)).withColumn("z", F.when(F.col("std") > 1e-12, (F.col("distance") - F.col("mean")) / F.col("std")).otherwise(0.0)).drop("mean", "std")
 
 
+def style_words(weights: DataFrame, k: int = 10) -> DataFrame:
+    """side, token, weight: the k tokens that weigh most more on the first side than on the second, and the reverse."""
+    apart = F.round(F.col("w1") - F.col("w2"), 9)
+    first = weights.orderBy(apart.desc(), "token").limit(k).select(F.lit(1).alias("side"), "token", F.col("w1").alias("weight"))
+    return first.union(weights.orderBy(apart, "token").limit(k).select(F.lit(2).alias("side"), "token", F.col("w2").alias("weight")))
+
+
+def trend(points: DataFrame) -> DataFrame:
+    """author, points and trend of each trajectory of points(author, year, z)."""
+    ends = points.groupBy("author").agg(F.count("*").alias("points"), (F.max_by("z", "year") - F.min_by("z", "year")).alias("difference"))
+    return ends.select("author", "points", V.trend_label(F.col("points"), F.col("difference")).alias("trend"))
+
+
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -51,14 +65,14 @@ def cosine(a, b):
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int = 200, least: float = 0.35) -> DataFrame:
     """vec_id and similarity of the k nearest rows to a one-row query, those of at least ``least``."""
-    one = F.broadcast(query.select(F.col("embedding").alias("q")).limit(1))
+    one = F.broadcast(query.select(F.col("embedding").alias("q"), "vec_id").orderBy("vec_id").limit(1).select("q"))
     out = vectors.crossJoin(one).select("vec_id", cosine("embedding", "q").alias("similarity"))
     return out.orderBy(F.desc_nulls_last("similarity"), "vec_id").limit(k).where(F.col("similarity") >= least)
 
 
-def trends(vectors: DataFrame, categories: DataFrame, least: float = 0.28, most: int = 10_000) -> DataFrame:
-    """Rows per (category, label) of vectors as similar as ``least``; categories are counted before they are sent out."""
+def trends(vectors: DataFrame, categories: DataFrame, by: str = "label", least: float = 0.28, most: int = 10_000) -> DataFrame:
+    """Rows per category and another column, as the year, of vectors as similar as ``least``; categories are counted before they are sent out."""
     if categories.count() > most:
         raise ValueError("too many categories for a broadcast")
     cats = F.broadcast(categories.select(F.col("vec_id").alias("category"), F.col("embedding").alias("c")))
-    return vectors.crossJoin(cats).where(cosine("embedding", "c") >= least).groupBy("category", "label").agg(F.count("*").alias("n"))
+    return vectors.crossJoin(cats).where(cosine("embedding", "c") >= least).groupBy("category", by).agg(F.count("*").alias("n"))

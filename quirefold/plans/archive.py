@@ -14,7 +14,7 @@ PARTS = [("'<div class=\"Titulo\">t<b>x</b></div><div class=\"Normal\">'", "'</d
          ("'<div class=\"imgbox\"><div class=\"TituloI\">'", "'&amp;&nbsp;D</div></div><a class=\"page\">4</a><div class=\"Normal\"></div>'"),
          ("'<div class=\"imgbox\"><div class=\"NormalI\">'", "'</div><div class=\"DescrI\">an ad</div></div>'")]
 HTML = "case doc_id % 4 " + " ".join(f"when {i} then concat({a}, coalesce({{0}}, ''), {b})" for i, (a, b) in enumerate(PARTS)) + " end"
-RAW = f"raw as (select doc_id as article_id, {HTML.format('left(text, 200)')} as html from documents), cut as (select article_id, regexp_replace(regexp_replace(html, '(?s)<div class=\"(?:Título|Titulo|Autor|Autortexto|DescrI)\">.*?</div>', '', 'g'), '(?s)<a class=\"page\".*?</a>', '', 'g') as html from raw)"
+RAW = f"raw as (select doc_id as article_id, {HTML.format('text')} as html from documents), cut as (select article_id, regexp_replace(regexp_replace(html, '(?s)<div class=\"(?:Título|Titulo|Autor|Autortexto|DescrI)\">.*?</div>', '', 'g'), '(?s)<a class=\"page\".*?</a>', '', 'g') as html from raw)"
 DECODE = "replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"')"
 UNTAG = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
 SQUASH = "trim(regexp_replace({}, '\\s+', ' ', 'g'), ' ')"
@@ -104,7 +104,7 @@ def q32_import_actions(spark, d):
     return loading.classify(new, old, [["legacy"], ["slug"]]).select("p_partkey", "action", "match_id")
 
 
-@query(f"with s as (select page_id, url, regexp_replace(regexp_replace({FOLD.format('left(url, 24)')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from pages), r as (select page_id, slug, row_number() over (partition by slug order by page_id) - 1 as n from s) select page_id, case when n > 0 then slug || '-' || n else slug end as slug from r")
+@query(f"with s as (select page_id, url, regexp_replace(regexp_replace({FOLD.format('url')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from pages), r as (select page_id, slug, row_number() over (partition by slug order by page_id) - 1 as n from s), k as (select regexp_extract(slug, '^(?s)(.*)-[0-9]+$', 1) as slug, list_sort(list(cast(regexp_extract(slug, '([0-9]+)$', 1) as bigint))) as ks from (select distinct slug from s where regexp_matches(slug, '-[1-9][0-9]{{0,8}}$')) group by 1) select page_id, case when n > 0 then r.slug || '-' || list_reduce(list_concat([n], coalesce(ks, [])), lambda a, x: case when x <= a then a + 1 else a end) else r.slug end as slug from r left join k using (slug)")
 def fn31_unique_slugs(spark, d):
     pages = t(spark, d, "pages").select("page_id", T.slug(F.coalesce("url", F.lit(""))).alias("slug"))
     return loading.unique_slugs(pages, "slug", spark.createDataFrame([], "slug string"), ["page_id"])
@@ -117,9 +117,9 @@ def sk06_fill_nulls(spark, d):
     return loading.merge_filled(now, new, "doc_id", ["quality"])
 
 
-@query("select doc_id, len(list_distinct(list_transform(regexp_extract_all(left(text, 400), '[0-9]{1,9}'), lambda x: cast(x as bigint)))) as n from documents")
+@query("select doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda x: try_cast(x as bigint)), lambda x: x is not null))) as n from documents")
 def fn35_id_list(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{1,9}"), 0).cast("array<long>"))).cast("long").alias("n"))
+    return t(spark, d, "documents").select("doc_id", F.size(V.id_list(F.col("text"))).cast("long").alias("n"))
 
 
 @query("select c_custkey, c_name, regexp_replace(regexp_replace(trim(regexp_replace(lower(strip_accents(c_name)), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), '-+', '-', 'g') as slug from customer")
@@ -127,7 +127,7 @@ def fn29_slug_words(spark, d):
     return t(spark, d, "customer").select("c_custkey", "c_name", V.slug_words("c_name").alias("slug"))
 
 
-@query(f"with {CHAIN}, e as (select word, max(total) as frequency, case when count(*) > 1 then -sum(cast(n as double) / total * log2(cast(n as double) / total)) / log2(count(*)) else 0 end as h from bi join un using (word) group by word) select word, case when frequency < 5 then 'insuficiente' when h < 0.25 then 'convencional' when h < 0.5 then 'moderado' when h < 0.75 then 'variado' else 'innovador' end as level from e where frequency >= 20 and abs(h - 0.25) > 1e-9 and abs(h - 0.5) > 1e-9 and abs(h - 0.75) > 1e-9")
+@query(f"with {CHAIN}, e as (select word, max(total) as frequency, case when count(*) > 1 then -sum(cast(n as double) / total * log2(cast(n as double) / total)) / log2(count(*)) else 0 end as h from bi join un using (word) group by word) select word, case when frequency < 5 then 'insuficiente' when round(h, 9) < 0.25 then 'convencional' when round(h, 9) < 0.5 then 'moderado' when round(h, 9) < 0.75 then 'variado' else 'innovador' end as level from e")
 def fn53_entropy_level(spark, d):
     return lexis.entropy(_pairs(spark, d)).select("word", V.entropy_label(F.col("h_norm"), F.col("reliable")).alias("level"))
 

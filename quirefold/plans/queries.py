@@ -69,7 +69,9 @@ def q01_concordance_year(spark, d):
     return lexis.yearly_density(_prose(spark, d), "que")
 
 
-@query()
+@query(f"""with {ARTICLES}, p as (select article_id, magazine, year, body, string_split_regex({FOLD.format('body')}, '\\bque\\b') as pieces from articles where language in ('es', 'fr') and not coalesce(is_advert, false)),
+  h as (select article_id, magazine, year, body, unnest(range(len(pieces) - 1)) as hit, pieces from p where len(pieces) > 1), l as (select article_id, magazine, year, body, hit, 1 + 3 * hit + length(array_to_string(pieces[1:hit + 1], '')) as place from h)
+  select article_id, magazine, year, hit, place, trim(regexp_replace(substring(body, greatest(1, place - 50), place - greatest(1, place - 50) + 53), '{SPACE}+', ' ', 'g'), ' ') as line from l""")
 def q01_keyword_lines(spark, d):
     return lexis.keyword_lines(_prose(spark, d), "que")
 
@@ -124,7 +126,7 @@ def q07_chain_successors(spark, d):
     return lexis.successors(_pairs(spark, d), "the").withColumn("p", F.round("p", 6))
 
 
-@query(f"with {CHAIN}, e as (select word, max(total) as frequency, count(*) as followers, -sum(cast(n as double) / total * log2(cast(n as double) / total)) as h from bi join un using (word) group by word) select word, frequency, followers, round(h, 5) + 0.0 as h, round(log2(followers), 5) as h_max, round(case when followers > 1 then h / log2(followers) else 0 end, 5) as h_norm, frequency >= 5 as reliable from e where frequency >= 20")
+@query(f"with {CHAIN}, e as (select word, max(total) as frequency, count(*) as followers, -sum(cast(n as double) / total * log2(cast(n as double) / total)) as h from bi join un using (word) group by word) select word, frequency, followers, round(h, 5) + 0.0 as h, round(log2(followers), 5) as h_max, round(case when followers > 1 then h / log2(followers) else 0 end, 5) as h_norm, frequency >= 5 as reliable from e")
 def ag26_entropy(spark, d):
     return lexis.entropy(_pairs(spark, d)).withColumns({c: F.round(c, 5) + 0.0 for c in ("h", "h_max", "h_norm")})
 
@@ -176,7 +178,9 @@ def q24_semantic(spark, d):
     return vectors.nearest(e, e.where("vec_id = 0")).select("vec_id", T.half_up(F.col("similarity"), 3).alias("similarity"))
 
 
-@query()
+@query(f"""with {ARTICLES}, w as (select article_id, regexp_extract_all(lower(strip_accents(body)), '[\\p{{L}}\\p{{N}}]+') as ws from articles), a as (select article_id, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1] = '{PAIR_WORDS[0]}')) as a from w),
+  b as (select article_id, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1] = '{PAIR_WORDS[1]}')) as b from w), m as (select article_id, min({{'separation': abs(a - b), 'a': a, 'b': b}}) as m from a join b using (article_id) where abs(a - b) <= 5 group by article_id)
+  select article_id, m.separation, m.a, m.b from m""")
 def q08_nearest_pair(spark, d):
     return lexis.nearest_pair(corpus.articles(spark, d), *PAIR_WORDS, 5)
 
@@ -214,7 +218,7 @@ def q28_exact_match(spark, d):
 SIG = "list_distinct(list_filter(string_split_regex(lower(strip_accents({})), '[^a-z]+'), lambda w: length(w) >= 3))"
 
 
-@query(f"""with a as (select s_suppkey as id, {SIG.format("p_name")} as w from supplier join part on p_partkey = s_suppkey), b as (select p_partkey as match_id, {SIG.format("p_name")} as o from part),
+@query(f"""with a as (select p_partkey as id, {SIG.format("p_name")} as w from part), b as (select p_partkey as match_id, {SIG.format("p_name")} as o from part),
   p as (select id, match_id, len(list_intersect(w, o)) as s, len(w) as nw, len(o) as n_o from a, b where len(list_intersect(w, o)) > 0),
   q as (select id, match_id, cast(s as double) / least(nw, n_o) as overlap, cast(s as double) / (nw + n_o - s) as jaccard from p), r as (select *, row_number() over (partition by id order by overlap desc, jaccard desc, match_id) as rank from q where overlap >= 0.5)
   select id, match_id, round(overlap, 6) as overlap, round(jaccard, 6) as jaccard, cast(rank as int) as rank from r where rank <= 3""")

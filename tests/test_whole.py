@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quirefold.functions import values as V
-from quirefold.plans import archive  # noqa: F401 - registers its queries
+from quirefold.plans import archive, composed  # noqa: F401 - they register their queries
 from quirefold.plans.queries import QUERIES
 
 
@@ -16,8 +16,8 @@ def rows(spark, path, name, **tables):
 
 
 def test_id_list_whole_text(spark, tmp_path):
-    docs = pd.DataFrame({"doc_id": [1, 2], "text": ["a 7 " + "x" * 500 + " 8 08 123456789012", "x" * 400]})
-    assert rows(spark, tmp_path, "fn35_id_list", documents=docs) == [(1, 4), (2, 0)]
+    docs = pd.DataFrame({"doc_id": [1, 2], "text": ["a 7 " + "x" * 500 + " 8 08 123456789012 " + "9" * 25, "x" * 400]})
+    assert rows(spark, tmp_path, "fn35_id_list", documents=docs) == [(1, 3), (2, 0)]
 
 
 def test_unique_slugs_whole_url(spark, tmp_path):
