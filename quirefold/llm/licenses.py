@@ -112,9 +112,44 @@ class SuffixAutomaton:
             yield len(words) - size, len(words)
 
 
-def scan(words, automaton, templates, phrases=PHRASES, long_match=5, gap=3, covered=0.6, notices=NOTICES):
-    """Phrases, labels and score; a span counts from long_match words on, a short notice as a whole at any length."""
-    base, spans, found = set(), [], set()
+def seeds(templates: dict[str, list[str]], size: int) -> dict[tuple, list]:
+    """By ``size`` words in a row, the (template, place) pairs where they stand."""
+    out = {}
+    for label, words in templates.items():
+        for p in range(len(words) - size + 1):
+            out.setdefault(tuple(words[p:p + size]), []).append((label, p))
+    return out
+
+
+def aligned(words, long, index, size) -> dict[str, list]:
+    """By template the (text from, text to, template from) of equal runs inside the long matches, in order of the text."""
+    out, open_runs = {}, {}
+    for a, b in long:
+        for i in range(a, b - size + 1):
+            for label, p in index.get(tuple(words[i:i + size]), ()):
+                run = open_runs.get((label, p - i))
+                if run is not None and run[1] >= i:
+                    run[1] = max(run[1], i + size)
+                else:
+                    open_runs[label, p - i] = run = [i, i + size, p]
+                    out.setdefault(label, []).append(run)
+    return {label: sorted(runs) for label, runs in out.items()}
+
+
+def chained(runs: list, gap: int) -> int:
+    """Most template words that one chain of runs covers: text and template both go on, with at most ``gap`` words of text between."""
+    best, tail = 0, []
+    for a, b, p in runs:
+        tail = [t for t in tail if a - t[0] <= gap]
+        covered = max([b - a, *(n + min(b - a, b - end, p + b - a - place) for end, place, n in tail if b > end and p + b - a > place)])
+        tail.append((b, p + b - a, covered))
+        best = max(best, covered)
+    return best
+
+
+def scan(words, automaton, templates, phrases=PHRASES, long_match=5, gap=3, covered=0.6, notices=NOTICES, index=None):
+    """Phrases, labels and score; matches of long_match words on are chained in order of the template, a short notice counts as a whole."""
+    base, long, found = set(), [], set()
     first = {p[0] for known in (phrases, notices) for p in known}
     for a, b in automaton.maximal(words, 1):
         for i in range(a, b):
@@ -122,28 +157,17 @@ def scan(words, automaton, templates, phrases=PHRASES, long_match=5, gap=3, cove
                 base |= {(i, label) for p, label in phrases.items() if i + len(p) <= b and tuple(words[i:i + len(p)]) == p}
                 found |= {(i, -len(p), label) for p, label in notices.items() if i + len(p) <= b and tuple(words[i:i + len(p)]) == p}
         if b - a >= long_match:
-            spans.append((a, b, " " + " ".join(words[a:b]) + " "))
+            long.append((a, b))
     base, named, end = sorted(base), set(), 0
     for i, n, label in sorted(found):
         if i - n > end:
             named.add(label)
             end = i - n
-    best = {}
-    for label, template in templates.items() if spans else ():
-        inside = " " + " ".join(template) + " "
-        chain = total = 0
-        end = None
-        for a, b, span in spans:
-            # A passage may also lie inside a longer match, as where it stands in another license too.
-            if inside in span:
-                total = len(template)
-            elif span in inside:
-                chain = b - max(a, end) + chain if end is not None and a - end <= gap else b - a
-                end, total = b, max(total, chain)
-        best[label] = min(1.0, total / len(template))
+    index = seeds(templates, long_match) if index is None else index
+    best = {label: chained(runs, gap) / len(templates[label]) for label, runs in aligned(words, long, index, long_match).items()} if long else {}
     # The sentences of Creative Commons differ in the name alone, so the name decides.
     labels = {x for _, x in base} | named | {x.split("/")[0] for x, s in best.items() if s >= covered and x not in CC}
-    return base, labels, 1.0 if base or named else max(best.values(), default=0.0)
+    return base, labels, 1.0 if base or named else min(1.0, max(best.values(), default=0.0))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -154,12 +178,12 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
     """
     def run(batches):
         split = {k: v.split() for k, v in templates.items()}
-        automaton = SuffixAutomaton([*PHRASES, *NOTICES, *split.values()])
+        automaton, index = SuffixAutomaton([*PHRASES, *NOTICES, *split.values()]), seeds(split, 5)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 words = WORD.findall((text or "").translate(UPPER))
-                base, labels, score = scan(words, automaton, split)
+                base, labels, score = scan(words, automaton, split, index=index)
                 rows.append((doc_id, len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None,
                              ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), float(score)))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
