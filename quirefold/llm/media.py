@@ -61,19 +61,21 @@ def walk(data: memoryview, start: int, end: int):
         start = stop
 
 
-def probe(media: bytes) -> dict:
-    """Codec, duration, sample sizes and places, and keyframe byte ranges, from the tables alone."""
-    data, found = memoryview(media), {}
-    for kind, a, b in walk(data, 0, len(data)):
-        found.setdefault(kind, (a, b))
-    at = lambda kind, skip=4: found[kind][0] + skip
+def track(data: memoryview, boxes: dict) -> dict:
+    """Codec, duration, sample sizes, places and times, and keyframe byte ranges of one track, from its tables alone."""
+    at = lambda kind, skip=4: boxes[kind][0] + skip
     many = lambda fmt, where, n: struct.unpack_from(f">{n}{fmt}", data, where)
-    rate, length = struct.unpack_from(">II", data, at(b"mdhd", 12))
-    same, n = struct.unpack_from(">II", data, at(b"stsz"))
-    sizes = [same] * n if same else list(many("I", at(b"stsz", 12), n))
-    wide = b"co64" in found
-    table = b"co64" if wide else b"stco"
-    chunks = many("Q" if wide else "I", at(table, 8), struct.unpack_from(">I", data, at(table))[0])
+    wide = data[boxes[b"mdhd"][0]] == 1
+    rate, length = struct.unpack_from(">IQ", data, at(b"mdhd", 20)) if wide else struct.unpack_from(">II", data, at(b"mdhd", 12))
+    if b"stsz" in boxes:
+        same, n = struct.unpack_from(">II", data, at(b"stsz"))
+        sizes = [same] * n if same else list(many("I", at(b"stsz", 12), n))
+    else:
+        bits, n = struct.unpack_from(">3xBI", data, at(b"stz2"))
+        raw = data[at(b"stz2", 12):]
+        sizes = [(raw[i // 2] >> 4 if i % 2 == 0 else raw[i // 2] & 15) for i in range(n)] if bits == 4 else list(many("B" if bits == 8 else "H", at(b"stz2", 12), n))
+    table = b"co64" if b"co64" in boxes else b"stco"
+    chunks = many("Q" if table == b"co64" else "I", at(table, 8), struct.unpack_from(">I", data, at(table))[0])
     runs = [many("I", at(b"stsc", 8) + 12 * i, 3) for i in range(struct.unpack_from(">I", data, at(b"stsc"))[0])]
     places, k, run = [], 0, 0
     for c, place in enumerate(chunks, 1):
@@ -84,9 +86,45 @@ def probe(media: bytes) -> dict:
                 places.append(place)
                 place += sizes[k]
                 k += 1
-    keys = many("I", at(b"stss", 8), struct.unpack_from(">I", data, at(b"stss"))[0]) if b"stss" in found else range(1, n + 1)
-    return {"codec": bytes(data[at(b"stsd", 12):at(b"stsd", 16)]).decode("latin-1").strip(), "duration": length / rate, "rate": rate,
-            "sizes": sizes, "places": places, "keyframes": [(places[i - 1], sizes[i - 1]) for i in keys]}
+    times, now = [], 0
+    for i in range(struct.unpack_from(">I", data, at(b"stts"))[0] if b"stts" in boxes else 0):
+        count, step = many("I", at(b"stts", 8) + 8 * i, 2)
+        times += range(now, now + count * step, step) if step else [now] * count
+        now += count * step
+    keys = many("I", at(b"stss", 8), struct.unpack_from(">I", data, at(b"stss"))[0]) if b"stss" in boxes else range(1, n + 1)
+    return {"codec": bytes(data[at(b"stsd", 12):at(b"stsd", 16)]).decode("latin-1").strip(), "duration": length / rate if rate else 0.0, "rate": rate,
+            "sizes": sizes, "places": places, "times": times[:n], "keyframes": [(places[i - 1], sizes[i - 1]) for i in keys if 0 < i <= len(places)]}
+
+
+def probe(media: bytes) -> list[dict]:
+    """The tracks of a container in order; tracks without sample tables are left out."""
+    data, found = memoryview(media), []
+    for kind, a, b in walk(data, 0, len(data)):
+        if kind == b"trak":
+            found.append({})
+        elif found:
+            found[-1].setdefault(kind, (a, b))
+    needed = lambda boxes: {b"mdhd", b"stsd", b"stsc"} <= boxes.keys() and (b"stsz" in boxes or b"stz2" in boxes) and (b"stco" in boxes or b"co64" in boxes)
+    return [track(data, boxes) for boxes in found if needed(boxes)]
+
+
+def described(df: DataFrame, column: str, key: str) -> DataFrame:
+    """key, track, codec, duration, samples and keyframes (start, bytes) of a binary media column, one row a track.
+
+    Containers without tracks, damaged, empty or null ones give one row with null columns; payloads are not decoded. A
+    task holds one container at a time beside its batch."""
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, media in zip(pdf["k"], pdf["media"]):
+                try:
+                    tracks = probe(bytes(media)) if media is not None else []
+                except (struct.error, IndexError, KeyError):
+                    tracks = []
+                rows += [(k, i, t["codec"], t["duration"], len(t["sizes"]), [{"start": a, "bytes": n} for a, n in t["keyframes"]]) for i, t in enumerate(tracks)] or [(k, None, None, None, None, None)]
+            yield pd.DataFrame(rows, columns=["k", "track", "codec", "duration", "samples", "keyframes"]).astype({"track": "Int32", "samples": "Int64"})
+    kind = df.schema[key].dataType.simpleString()
+    return df.selectExpr(f"`{key}` as k", f"`{column}` as media").mapInPandas(run, f"k {kind}, track int, codec string, duration double, samples long, keyframes array<struct<start:long,bytes:long>>").withColumnRenamed("k", key)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -102,7 +140,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
                 raw = (text or "").encode("utf-8")
                 payload = raw + b"\xff" * (max(1, -(-len(raw) // FRAME)) * FRAME - len(raw))
                 media = mux(payload)
-                info = probe(media)
+                info = probe(media)[0]
                 lo, hi = info["places"][0], info["places"][-1] + info["sizes"][-1]
                 back = media[lo:hi]
                 keys = info["keyframes"]
