@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import meet, written
 
+#: Repeated digests up to which their counted list is broadcast.
+DIGESTS = 200_000
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -129,8 +131,10 @@ def warc_round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     base = pages.select("page_id", "url", "html").withColumns({"payload_bytes": F.octet_length(html).cast("long"), "payload_digest": F.sha1(html.cast("binary"))})
-    keys = base.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    records = base.join(keys, "payload_digest", "left")
+    keys = base.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    keys = written(keys, "digests")
+    # Payloads stay where they are while the repeated digests are few; beyond that hot ones are dealt over shares.
+    records = base.join(F.broadcast(keys.drop("n")), "payload_digest", "left") if keys.count() <= DIGESTS else meet(base, keys.drop("n"), "payload_digest", keys, how="left")
     revisit = F.coalesce((F.col("payload_bytes") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     records = records.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first"))})
     return read_archives(written(write_archives(records), "warc"))
