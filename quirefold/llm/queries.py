@@ -26,7 +26,7 @@ def op3_licenses(spark, sf_dir):
 
 
 def op4_urls(spark, sf_dir):
-    return urls.url_filter(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    return urls.url_filter(table(spark, sf_dir, "pages"), spark.sql("select * from values " + ", ".join(map(str, RULES)) + " as r(host, path, verdict)"))
 
 
 def op5_toxicity(spark, sf_dir):

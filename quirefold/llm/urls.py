@@ -2,6 +2,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import meet, written
+
+
+#: Judged urls up to which their counted list is broadcast.
+HITS = 100_000
+
 
 def url_parts(url):
     """(host, path) columns; null urls and urls without '://' give two empty strings."""
@@ -36,5 +42,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     expand = expand.withColumn("full", F.sha2("expression", 256)).withColumn("short", F.substring("full", 1, 8))
     hit = expand.join(rules, "short").where("full = digest").groupBy("host", "path").agg(
         F.max(F.struct(F.length("rule").alias("n"), "host_len", F.col("verdict").alias("verdict"), "rule")).alias("best"))
-    return parsed.join(hit, ["host", "path"], "left").select(
+    # Nulls and hot urls are many rows of one key: few hits are broadcast once counted, otherwise hot keys are dealt over shares.
+    key = F.concat_ws("\u0000", "host", "path").alias("key")
+    hit = written(hit.select(key, "best"), "hits")
+    keyed = parsed.select("*", key)
+    judged = keyed.join(F.broadcast(hit), "key", "left") if hit.count() <= HITS else meet(keyed, hit, "key", how="left")
+    return judged.select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
