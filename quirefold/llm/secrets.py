@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and strings that stay incompressible against the text around them."""
 import hashlib
 import re
+from collections import Counter
 
 import pandas as pd
 import zstandard
@@ -13,12 +14,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"pass|secret|token|key|credential|bearer|auth|private", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 IDENTIFIERS = b"password passwd secret token api_key apikey access_key client_secret private_key authorization bearer config settings username localhost example default return import function class const export string value true false null none http https www com org net "
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
 KINDS = ("assign", "access", "hex")
 
 
-def novelty(candidate: str, context: str, level: int = 3) -> float:
-    """Marginal compressed bytes of candidate per byte, the compressor primed with identifiers and the context."""
-    prime = zstandard.ZstdCompressionDict(IDENTIFIERS + context.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def novelty(candidate: str, context: str, names: str = "", level: int = 3) -> float:
+    """Marginal compressed bytes of candidate per byte, the compressor primed with identifiers, those of the file, and the context."""
+    prime = zstandard.ZstdCompressionDict(IDENTIFIERS + f"{names} {context}".encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=level, dict_data=prime, write_checksum=False, write_content_size=False, write_dict_id=False)
     data = candidate.encode()
     return (len(press.compress(data)) - len(press.compress(b""))) / len(data)
@@ -30,13 +32,15 @@ def scan(text: str, around: int = 200, least: float = 0.85) -> tuple[list, list]
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    found = []
+    found, names = [], None
     for m in CANDIDATE.finditer(text):
         s = m[0]
         mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
         if mixed and SENSITIVE.search(text, max(0, m.start() - 40), m.start()):
             near = text[max(0, m.start() - around):m.start()] + " " + text[m.end():m.end() + around]
-            if novelty(s, near) >= least:
+            if names is None:
+                names = Counter(NAME.findall(text))
+            if novelty(s, near, " ".join(x for x, n in names.items() if x not in s or n > 1)) >= least:
                 found.append((m.start(), 3, m.end()))
     return base, sorted(base + found)
 

@@ -101,7 +101,7 @@ def test_secrets():
 def test_media_round_trip():
     payload = bytes(range(256)) * 9 * 25
     m = media.mux(payload)
-    info = media.probe(m)
+    info = media.probe(m)[0]
     assert b"".join(m[a:a + n] for a, n in zip(info["places"], info["sizes"])) == payload
     assert len(info["keyframes"]) == 10 and info["codec"] == "raw"
 
