@@ -9,7 +9,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def not_toxic(spark, docs, sf_dir):
-    """Drops documents that score 0.5 or more; the model learns from documents and labels."""
+    """Drops documents that score 0.5 or more; the model learns from documents and labels.
+
+    Null and empty texts score 0 and stay, as do repeated rows; without labelled texts all stay."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.toxicity_score(docs, model).where("predicted = 0").select(COLUMNS)
 
@@ -28,24 +30,24 @@ def deduplicated(spark, docs, sf_dir):
 
 
 def decontaminated(spark, docs, sf_dir):
-    """Drops documents that hold a benchmark item's template."""
+    """Drops documents that hold a benchmark item's template; rows with a null doc_id or text hold none and stay."""
     leaks = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
 
 
 def redacted(spark, docs, sf_dir):
-    """Replaces personal data in the texts; n_chars follows."""
+    """Replaces personal data in the texts; n_chars follows. Null texts stay null, with a null n_chars; repeated rows stay."""
     clean = pii.redact(pii.pii_spans(docs, pii.train(spark)))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def packed(spark, docs, sf_dir):
-    """Sequences of at most 1024 tokens, one row a piece."""
+    """Sequences of at most 1024 tokens, one row a piece; null and empty texts are one end token."""
     return packing.best_fit_pack(docs, vocabulary())
 
 
 STAGES = [("toxicity", not_toxic), ("near_duplicates", deduplicated), ("decontamination", decontaminated), ("pii", redacted), ("packing", packed)]
-#: The trained, sketching and packing stages have no SQL; tests compare them with brute force.
+#: The trained, sketching and packing stages have no SQL; tests/llm/test_pipeline.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 
