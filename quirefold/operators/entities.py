@@ -7,9 +7,9 @@ from ..functions import text as T
 
 def exact_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """left(id, name) to the most active of right(id, name, activity) with the same name key; ties by id."""
-    w = Window.partitionBy("key").orderBy(F.desc("activity"), "match_id")
-    best = right.select(T.name_key("name").alias("key"), F.col("id").alias("match_id"), F.coalesce("activity", F.lit(0)).alias("activity"))
-    best = best.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    # An aggregate, so that rows of one key are reduced before they are shuffled.
+    best = right.groupBy(T.name_key("name").alias("key")).agg(F.min(F.struct((-F.coalesce("activity", F.lit(0))).alias("less"), F.col("id").alias("match_id"))).alias("best"))
+    best = best.select("key", "best.match_id", (-F.col("best.less")).alias("activity"))
     return left.select("id", "name", T.name_key("name").alias("key")).join(best, "key", "left").select("id", "name", "match_id", "activity")
 
 
@@ -49,6 +49,10 @@ def with_drafts(df: DataFrame) -> DataFrame:
 def geocode(places: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """places(place) to gazetteer(priority, city, lat, lng): equal folded names, else the first city that the place holds."""
     p = places.withColumn("folded", T.collapse(T.fold("place")))
-    best = p.select("folded").distinct().join(gazetteer, F.contains("folded", T.fold("city")))
-    best = best.groupBy("folded").agg(F.min(F.struct((F.col("folded") != T.fold("city")).alias("part"), "priority", "lat", "lng")).alias("b"))
+    keys = gazetteer.withColumn("key", T.fold("city")).where("key != ''")
+    # Each distinct place is cut into the lengths that city names have, so that holding a city is an equality.
+    sizes = sorted(r[0] for r in keys.select(F.length("key")).distinct().collect() if r[0])
+    cuts = F.array_distinct(F.flatten(F.array(*(F.expr(f"case when length(folded) >= {n} then transform(sequence(1, length(folded) - {n - 1}), i -> substring(folded, i, {n})) else cast(array() as array<string>) end") for n in sizes or [1]))))
+    best = p.select("folded").where("folded is not null").distinct().select("folded", F.explode(cuts).alias("key")).join(keys, "key")
+    best = best.groupBy("folded").agg(F.min(F.struct((F.col("folded") != F.col("key")).alias("part"), "priority", "lat", "lng")).alias("b"))
     return p.join(best, "folded", "left").select(*places.columns, "b.lat", "b.lng")
