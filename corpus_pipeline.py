@@ -31,8 +31,8 @@ def deduplicated(spark, docs, sf_dir):
 
 def decontaminated(spark, docs, sf_dir):
     """Drops documents that hold a benchmark item's template; rows with a null doc_id or text hold none and stay."""
-    leaks = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+    leaks = written(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return restricted(docs.select(COLUMNS), leaks, "doc_id", "left_anti")
 
 
 def redacted(spark, docs, sf_dir):
