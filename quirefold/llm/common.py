@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 SHARE = 10_000
 #: Ids (a long each) up to which a counted list is broadcast.
 IDS = 4_000_000
+#: Bytes of a batch sent to a Python worker; a longer row goes alone.
+BATCH = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,16 @@ def spent(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df itself, after limiting the session's Arrow batches to BATCH bytes; a smaller limit of the caller's stays.
+
+    By rows alone a batch, which both the JVM and the worker hold, would grow with the length of texts."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH:
+        spark.conf.set(key, str(BATCH))
+    return df
+
+
 def restricted(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", most: int = IDS) -> DataFrame:
     """Rows of df whose key is (left_semi) or isn't (left_anti) in the written one-column table ids.
 

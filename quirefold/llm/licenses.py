@@ -5,6 +5,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 # Base phrases with their labels.
@@ -189,4 +191,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInPandas(run, schema)

@@ -6,6 +6,8 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 FRAME = 576
 KEY_EVERY = 10
 RATE = 8000
@@ -124,7 +126,7 @@ def described(df: DataFrame, column: str, key: str) -> DataFrame:
                 rows += [(k, i, t["codec"], t["duration"], len(t["sizes"]), [{"start": a, "bytes": n} for a, n in t["keyframes"]]) for i, t in enumerate(tracks)] or [(k, None, None, None, None, None)]
             yield pd.DataFrame(rows, columns=["k", "track", "codec", "duration", "samples", "keyframes"]).astype({"track": "Int32", "samples": "Int64"})
     kind = df.schema[key].dataType.simpleString()
-    return df.selectExpr(f"`{key}` as k", f"`{column}` as media").mapInPandas(run, f"k {kind}, track int, codec string, duration double, samples long, keyframes array<struct<start:long,bytes:long>>").withColumnRenamed("k", key)
+    return small_batches(df.selectExpr(f"`{key}` as k", f"`{column}` as media")).mapInPandas(run, f"k {kind}, track int, codec string, duration double, samples long, keyframes array<struct<start:long,bytes:long>>").withColumnRenamed("k", key)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -151,4 +153,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes array<struct<start:long,bytes:long>>"
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInPandas(run, schema)

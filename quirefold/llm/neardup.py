@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHARE, meet, restricted, spent, written
+from .common import SHARE, meet, restricted, small_batches, spent, written
 
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
@@ -154,11 +154,15 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values.view(np.int64)))
 
 
-def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n, key of the set, and for the first text of a set in a batch its band hashes and parity."""
+def signed(docs: DataFrame, k: int, bands: int, rows: int, held: int = 1 << 16) -> DataFrame:
+    """doc_id, n, key of the set, and for the first text of a set its band hashes and parity; later ones may have them too.
+
+    A task remembers ``held`` sets or so, then begins anew."""
     def run(batches):
+        seen = set()
         for batch in batches:
-            seen = set()
+            if len(seen) > held:
+                seen.clear()
             for rows_, raw, bounds in parts(batch):
                 sets, n = shingles(raw, bounds, k)
                 ends = np.cumsum(n)
@@ -170,7 +174,7 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 parity = parities(own, count)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows_], pa.array(n), pa.array(keys, pa.binary()),
                                                   lists(band[fresh].ravel(), fresh * bands), lists(parity.ravel(), fresh * LONGS)], names=["doc_id", "n", "key", "bands", "parity"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key binary, bands array<long>, parity array<long>")
+    return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, n long, key binary, bands array<long>, parity array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -180,7 +184,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             for rows, raw, bounds in parts(batch):
                 sets, n = shingles(raw, bounds, k)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], lists(sets, n)], names=["rep", "shingles"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "rep long, shingles array<long>")
+    return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "rep long, shingles array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,7 +227,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
             held += np.bincount(batch.column("shingles").flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
         slot = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(held[slot])], names=["slot", "n"])
-    rows = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = small_batches(sets.select("shingles")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, dtype=np.int64)
     out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return np.minimum(out, 2**31 - 1).astype(np.int32)
@@ -266,7 +270,7 @@ def prefixes(sets: DataFrame, percent: int, frequent: int = 500, listed: int = 1
                     reps.append(np.full(int(met.sum()), rep))
                 if reps:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (reps, found, first)], names=["rep", "shingle", "first"])
-        return written(sets.select("rep", "shingles").mapInArrow(run, "rep long, shingle long, first boolean"), "prefixes")
+        return written(small_batches(sets.select("rep", "shingles")).mapInArrow(run, "rep long, shingle long, first boolean"), "prefixes")
 
     out = ranked(np.empty(0, np.int64), np.empty(0, np.int64))
     counts = out.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > frequent)

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 
 #: The pattern by which the byte-level model cuts text, for characters on which Python's classes agree with it.
@@ -162,7 +162,7 @@ def pieces(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2,
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def greedy(counts: dict[int, int], room: int) -> list[list]:
@@ -316,7 +316,7 @@ def pack(found: DataFrame, room: int = 1024, rows_a_deal: int = 1_000_000, sprea
             yield pdf.astype({"doc_id": "Int64"})
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
     order = Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "ids_crc32")
-    return dealt.withColumn("rank", F.row_number().over(order) - 1).mapInPandas(run, f"{kinds}, sequence_id long, offset long")
+    return small_batches(dealt.withColumn("rank", F.row_number().over(order) - 1)).mapInPandas(run, f"{kinds}, sequence_id long, offset long")
 
 
 def best_fit_pack(docs: DataFrame, vocabulary: str, room: int = 1024) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -63,4 +65,4 @@ def secret_scan(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInPandas(run, schema)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -111,6 +113,6 @@ def toxicity_score(docs: DataFrame, model: tuple[dict, float]) -> DataFrame:
             out.append((combine([x for x, _ in found], bias), max(found)[1].strip() if found else None))
         return pd.DataFrame(out, columns=["score", "worst"])
 
-    judged = docs.withColumn("__judged", judge("text"))
+    judged = small_batches(docs).withColumn("__judged", judge("text"))
     return judged.withColumns({"score": F.col("__judged.score"), "worst_sentence": F.col("__judged.worst"),
                                "predicted": (F.col("__judged.score") >= 0.5).cast("int")}).drop("__judged")

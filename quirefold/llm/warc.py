@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import meet, written
+from .common import meet, small_batches, written
 
 #: Repeated digests up to which their counted list is broadcast.
 DIGESTS = 200_000
@@ -103,7 +103,7 @@ def write_archives(records: DataFrame, limit: int = 4 << 20) -> DataFrame:
         if index:
             yield close()
     text = [F.col(c).cast("string").alias(c) for c in ("page_id", "refers_to")]
-    return records.select(*text, "url", "html", "record_type", "payload_bytes", "payload_digest").mapInPandas(run, "archive string, bytes binary")
+    return small_batches(records.select(*text, "url", "html", "record_type", "payload_bytes", "payload_digest")).mapInPandas(run, "archive string, bytes binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     n, digest = (len(body), hashlib.sha1(body).hexdigest()) if there else (int(heads["X-Payload-Length"]), heads["WARC-Payload-Digest"][5:])
                     rows.append((heads["WARC-Record-ID"][10:-1], n, digest, heads["WARC-Type"], heads.get("WARC-Refers-To", "<urn:page:>")[10:-1], heads["WARC-Target-URI"]))
                 yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
-    out = archives.select("bytes").mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
+    out = small_batches(archives.select("bytes")).mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
     number = lambda c: F.expr(f"try_cast({c} as bigint)").alias(c)
     return out.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"), "url")
 

@@ -7,9 +7,11 @@ import zipfile
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from quirefold.llm import decontaminate, licenses, media, secrets, urls, warc
+from quirefold.llm.common import small_batches
 from quirefold.llm.queries import QUERIES, RULES
 
 SMALL = "/root/testdata/sf0.001"
@@ -151,3 +153,23 @@ def test_urls_and_pages_odd_rows(spark):
         assert got == [(1, 1200, "revisit", 2)] * 2 + [(2, 1200, "response", None), (None, 0, "response", None)]
     warc.DIGESTS = most
     assert warc.warc_round_trip(pages.limit(0)).isEmpty()
+
+
+def test_batches_go_by_bytes(spark):
+    """Long texts do not make large batches, a row above the limit goes alone, and a caller's smaller limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+    try:
+        texts = spark.range(12).selectExpr("repeat('x', case when id = 5 then 9000000 else 1500000 end) as text").coalesce(1)
+        spark.conf.set(key, "64MB")
+        assert [r.n for r in texts.mapInArrow(sizes, "n long").collect()] == [12]
+        assert max(r.n for r in small_batches(texts).mapInArrow(sizes, "n long").collect()) <= 3
+        spark.conf.set(key, "1MB")
+        small_batches(texts)
+        assert spark.conf.get(key) == "1MB"
+    finally:
+        spark.conf.set(key, before)
