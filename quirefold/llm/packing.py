@@ -1,11 +1,12 @@
 """Packing of token pieces into sequences: a plan over length counts, improved by swaps, then dealt out by rank."""
 import os
 import re
+import sys
+import types
 import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,13 +59,17 @@ class Coder:
 
     A byte-level model never merges across its cuts, so a text's ids are those of its words in a row. Blocks with unusual
     characters go to the tokenizer as they are. Blocks end before a space between two letters or digits, where the model
-    always cuts. Beyond ``most`` held words all are forgotten, so memory stays bounded."""
+    always cuts. A text that holds an added token of the model, as one that ends texts, goes to the tokenizer whole, which
+    gives the token's own id; with ``as_text`` such tokens are coded like other text. Beyond ``most`` held words all are
+    forgotten, so memory stays bounded."""
 
-    def __init__(self, vocabulary: str, most: int = 600_000, block: int = 1 << 16):
+    def __init__(self, vocabulary: str, most: int = 600_000, block: int = 1 << 16, as_text: bool = False):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(vocabulary)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = as_text
+        added = sorted(t.content for t in self.model.get_added_tokens_decoder().values() if not (as_text and t.special))
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.most, self.block, self.unusual, self.signs = most, block, unusual(), byte_signs()
         self.forget()
 
@@ -106,6 +111,9 @@ class Coder:
         at, counts, places = [], [], []
         number = self.known.__getitem__
         for i, text in enumerate(texts):
+            if self.added is not None and self.added.search(text):
+                out[i].append(np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4"))
+                continue
             for block in self.blocks(text):
                 if self.unusual.search(block):
                     out[i].append(np.array(self.model.encode(block, add_special_tokens=False).ids, "<u4"))
@@ -128,10 +136,16 @@ class Coder:
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
 
-@lru_cache(maxsize=1)
-def coder(vocabulary: str) -> Coder:
-    """One for each Python worker, so that words stay known from task to task."""
-    return Coder(vocabulary)
+def coder(vocabulary: str, as_text: bool) -> Coder:
+    """One for each Python worker, so that words stay known from task to task.
+
+    It is kept in a module of the worker's own, as this one travels with the job and begins anew with each task."""
+    worker = sys.modules.setdefault("__quirefold_worker__", types.ModuleType("__quirefold_worker__"))
+    held, key = vars(worker).setdefault("coders", {}), (vocabulary, as_text)
+    if key not in held:
+        held.clear()
+        held[key] = Coder(vocabulary, as_text=as_text)
+    return held[key]
 
 
 def runs(sizes: np.ndarray, most: int = 1 << 20):
@@ -143,10 +157,10 @@ def runs(sizes: np.ndarray, most: int = 1 << 20):
         lo = hi
 
 
-def pieces(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, room: int = 1024, end_id: int = 2, with_ids: bool = False, as_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each document's pieces; only longer ones are cut."""
     def run(batches):
-        code = coder(vocabulary)
+        code = coder(vocabulary, as_text)
         end = np.array([end_id], "<u4")
         for batch in batches:
             column = batch.column("text")
@@ -319,10 +333,11 @@ def pack(found: DataFrame, room: int = 1024, rows_a_deal: int = 1_000_000, sprea
     return small_batches(dealt.withColumn("rank", F.row_number().over(order) - 1)).mapInPandas(run, f"{kinds}, sequence_id long, offset long")
 
 
-def best_fit_pack(docs: DataFrame, vocabulary: str, room: int = 1024) -> DataFrame:
+def best_fit_pack(docs: DataFrame, vocabulary: str, room: int = 1024, as_text: bool = False) -> DataFrame:
     """Pack whole documents into sequences of at most ``room`` tokens; one row a piece.
 
+    Added tokens of the vocabulary that a text holds get their own ids, unless ``as_text`` has them coded like other text.
     Null and empty texts are one end token; repeated rows and ties are pieces of their own; an empty table gives an
     empty result; other columns are ignored.
     """
-    return pack(written(pieces(docs, vocabulary, room), "pieces"), room)
+    return pack(written(pieces(docs, vocabulary, room, as_text=as_text), "pieces"), room)
