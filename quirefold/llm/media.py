@@ -64,33 +64,42 @@ def walk(data: memoryview, start: int, end: int):
 
 
 def track(data: memoryview, boxes: dict) -> dict:
-    """Codec, duration, sample sizes, places and times, and keyframe byte ranges of one track, from its tables alone."""
+    """Codec, duration, sample sizes, places and times, and keyframe byte ranges of one track, from its tables alone.
+
+    Counts that the file can't hold raise an error before anything is made from them: samples of one size must fit into
+    the file, tables into their boxes, and runs of chunks and times end with the samples."""
     at = lambda kind, skip=4: boxes[kind][0] + skip
     many = lambda fmt, where, n: struct.unpack_from(f">{n}{fmt}", data, where)
     wide = data[boxes[b"mdhd"][0]] == 1
     rate, length = struct.unpack_from(">IQ", data, at(b"mdhd", 20)) if wide else struct.unpack_from(">II", data, at(b"mdhd", 12))
     if b"stsz" in boxes:
         same, n = struct.unpack_from(">II", data, at(b"stsz"))
+        if same * n > len(data):
+            raise ValueError("more samples than the file holds")
         sizes = [same] * n if same else list(many("I", at(b"stsz", 12), n))
     else:
         bits, n = struct.unpack_from(">3xBI", data, at(b"stz2"))
         raw = data[at(b"stz2", 12):]
+        if n > 2 * len(raw):
+            raise ValueError("more samples than the table holds")
         sizes = [(raw[i // 2] >> 4 if i % 2 == 0 else raw[i // 2] & 15) for i in range(n)] if bits == 4 else list(many("B" if bits == 8 else "H", at(b"stz2", 12), n))
     table = b"co64" if b"co64" in boxes else b"stco"
     chunks = many("Q" if table == b"co64" else "I", at(table, 8), struct.unpack_from(">I", data, at(table))[0])
-    runs = [many("I", at(b"stsc", 8) + 12 * i, 3) for i in range(struct.unpack_from(">I", data, at(b"stsc"))[0])]
+    held = lambda kind, width: (boxes[kind][1] - at(kind, 8)) // width
+    entries = lambda kind, width: min(struct.unpack_from(">I", data, at(kind))[0], held(kind, width))
+    runs = [many("I", at(b"stsc", 8) + 12 * i, 3) for i in range(entries(b"stsc", 12))]
     places, k, run = [], 0, 0
     for c, place in enumerate(chunks, 1):
         while run + 1 < len(runs) and runs[run + 1][0] <= c:
             run += 1
-        for _ in range(runs[run][1]):
-            if k < n:
-                places.append(place)
-                place += sizes[k]
-                k += 1
+        for _ in range(min(runs[run][1], n - k)):
+            places.append(place)
+            place += sizes[k]
+            k += 1
     times, now = [], 0
-    for i in range(struct.unpack_from(">I", data, at(b"stts"))[0] if b"stts" in boxes else 0):
+    for i in range(entries(b"stts", 8) if b"stts" in boxes else 0):
         count, step = many("I", at(b"stts", 8) + 8 * i, 2)
+        count = min(count, n - len(times))
         times += range(now, now + count * step, step) if step else [now] * count
         now += count * step
     keys = many("I", at(b"stss", 8), struct.unpack_from(">I", data, at(b"stss"))[0]) if b"stss" in boxes else range(1, n + 1)
@@ -121,7 +130,7 @@ def described(df: DataFrame, column: str, key: str) -> DataFrame:
             for k, media in zip(pdf["k"], pdf["media"]):
                 try:
                     tracks = probe(bytes(media)) if media is not None else []
-                except (struct.error, IndexError, KeyError):
+                except (struct.error, IndexError, KeyError, ValueError):
                     tracks = []
                 rows += [(k, i, t["codec"], t["duration"], len(t["sizes"]), [{"start": a, "bytes": n} for a, n in t["keyframes"]]) for i, t in enumerate(tracks)] or [(k, None, None, None, None, None)]
             yield pd.DataFrame(rows, columns=["k", "track", "codec", "duration", "samples", "keyframes"]).astype({"track": "Int32", "samples": "Int64"})
