@@ -215,7 +215,7 @@ def ids_of(pairs: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the written pairs(a, b) whose full sets are near enough; a text in very many pairs is dealt over shares."""
     full = lambda c: sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}"))
-    checked = meet(pairs, full("a"), "a").join(full("b"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    checked = meet(meet(pairs, full("a"), "a"), full("b"), "b", pairs.groupBy("b").agg(F.count("*").alias("n"))).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return written(checked.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct(), "links")
 
 
@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     def likely(pairs):
         """Those pairs whose sizes and parities allow a link."""
         side = lambda c: light.select(F.col("rep").alias(c), F.struct("n", "parity").alias(f"s{c}"))
-        both = meet(pairs, side("a"), "a").join(side("b"), "b")
+        both = meet(meet(pairs, side("a"), "a"), side("b"), "b", pairs.groupBy("b").agg(F.count("*").alias("n")))
         return written(both.where(f"100 * least(sa.n, sb.n) >= {percent} * greatest(sa.n, sb.n) and {100 + percent} * ({apart('sa.parity', 'sb.parity')}) <= {100 - percent} * (sa.n + sb.n)").select("a", "b"), "likely")
 
     able = likely(pairs)
