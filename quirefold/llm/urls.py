@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from .common import meet, written
 
 
-#: Judged urls up to which their counted list is broadcast.
+#: Judged urls, and rules, up to which their counted list is broadcast.
 HITS = 100_000
+RULES = 100_000
 
 
 def url_parts(url):
@@ -40,7 +41,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     })
     expand = expand.select("host", "path", F.explode(F.flatten(F.expr("transform(suffixes, s -> transform(prefixes, p -> concat(s, p)))"))).alias("expression"))
     expand = expand.withColumn("full", F.sha2("expression", 256)).withColumn("short", F.substring("full", 1, 8))
-    hit = expand.join(rules, "short").where("full = digest").groupBy("host", "path").agg(
+    # A rule as wide as a top-level domain meets very many urls: beyond a counted size of the list, hot prefixes are dealt over shares.
+    rules = written(rules, "rules")
+    met = expand.join(F.broadcast(rules), "short") if rules.count() <= RULES else meet(expand, rules, "short")
+    hit = met.where("full = digest").groupBy("host", "path").agg(
         F.max(F.struct(F.length("rule").alias("n"), "host_len", F.col("verdict").alias("verdict"), "rule")).alias("best"))
     # Nulls and hot urls are many rows of one key: few hits are broadcast once counted, otherwise hot keys are dealt over shares.
     key = F.concat_ws("\u0000", "host", "path").alias("key")
