@@ -134,7 +134,13 @@ def warc_round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     keys = base.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     keys = written(keys, "digests")
     # Payloads stay where they are while the repeated digests are few; beyond that hot ones are dealt over shares.
-    records = base.join(F.broadcast(keys.drop("n")), "payload_digest", "left") if keys.count() <= DIGESTS else meet(base, keys.drop("n"), "payload_digest", keys, how="left")
+    # Shorter payloads, many of them equal or empty, have no digest to meet.
+    if keys.count() <= DIGESTS:
+        records = base.join(F.broadcast(keys.drop("n")), "payload_digest", "left")
+    else:
+        long = F.col("payload_bytes") >= least
+        records = meet(base.where(long), keys.drop("n"), "payload_digest", keys, how="left")
+        records = records.unionByName(base.where(~long).withColumn("first", F.lit(None).cast("long")))
     revisit = F.coalesce((F.col("payload_bytes") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     records = records.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first"))})
     return read_archives(written(write_archives(records), "warc"))
