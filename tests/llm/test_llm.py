@@ -322,7 +322,6 @@ def test_packing(spark):
     """Pieces against plain tokenizers; sequences hold at most 1024 without gaps and are near the lower bound."""
     from tokenizers import Tokenizer
     model = Tokenizer.from_file(vocabulary())
-    model.encode_special_tokens = True
     out = QUERIES["op10_packing"](spark, SMALL).toPandas()
     docs = pd.read_parquet(f"{SMALL}/documents.parquet")
     want = [p for i, t in zip(docs.doc_id, docs.text) for p in plain_pieces(i, [*model.encode(t or "", add_special_tokens=False).ids, 2])]
@@ -341,14 +340,20 @@ def test_packing_odd_rows(spark):
 
 def test_coder_against_tokenizers():
     """Cached words give the tokenizer's ids: all signs below U+2100 between spaces and letters, contractions, long blocks."""
-    code = packing.Coder(vocabulary(), most=500, block=64)
     rng = random.Random(9)
     texts = [x.join(f"{a}{chr(c)}{b}" for c in range(lo, lo + 64) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x2200, 64) for x, a, b in (("a", " ", "b"), (" ", "", ""), ("'", "", "ll"))]
     texts += ["", " ", "a  b\n\n c \t", "it's we'll 'tis I'D '' 's", "x" * 500, "<|endoftext|> a", "\U0001f600 é ñ 東京 12½"]
     texts += ["".join(rng.choice(["ab", " ", "\n", "'", "s", "12", ".", "é", "_", "\u00a0", "²"]) for _ in range(rng.randint(1, 200))) for _ in range(200)]
-    want = [code.model.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [x.tolist() for x in code.encode(texts)] == want
-    assert [x.tolist() for t in texts for x in code.encode([t])] == want
+    from tokenizers import Tokenizer
+    model = Tokenizer.from_file(vocabulary())
+    for as_text in (False, True):
+        model.encode_special_tokens = as_text
+        code = packing.Coder(vocabulary(), most=500, block=64, as_text=as_text)
+        want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in code.encode(texts)] == want
+        assert [x.tolist() for t in texts for x in code.encode([t])] == want
+    ended = f"a{next(iter(model.get_added_tokens_decoder().values())).content} hi"
+    assert packing.Coder(vocabulary()).encode([ended])[0].tolist() == Tokenizer.from_file(vocabulary()).encode(ended, add_special_tokens=False).ids != code.encode([ended])[0].tolist()
 
 
 def test_packing_search():
