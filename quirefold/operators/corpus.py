@@ -68,6 +68,12 @@ def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("article_id"), F.posexplode(names).alias("place", "author")).withColumn("place", F.col("place") + 1)
 
 
+def with_authors(articles: DataFrame) -> DataFrame:
+    """Adds authors, the names of authors() as an array in order of their places, without another pass over documents."""
+    first, second = F.concat(F.lit("a"), F.col("article_id") % 23), F.concat(F.lit("a"), F.col("article_id") % 7)
+    return articles.withColumn("authors", F.when((F.col("article_id") % 5 == 0) & (first != second), F.array(first, second)).otherwise(F.array(first)))
+
+
 def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """article_id, theme: one theme an article, every fourth has a second."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("article_id"))
