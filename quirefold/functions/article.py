@@ -55,9 +55,9 @@ def is_artwork(html) -> Column:
     return F.contains(left, F.lit('<div class="imgbox">')) & ~F.contains(left, F.lit('<div class="DescrI">')) & ~left.rlike('<div class="(?:Normal|Estrofa|Cita)')
 
 
-def processed(html) -> dict[str, Column]:
-    """Derived columns of an article; captions and flags are read from the cleaned HTML."""
-    clean = without_head(html)
+def processed(html, cleaned: bool = False) -> dict[str, Column]:
+    """Derived columns of an article; captions and flags are read from the cleaned HTML. html.processed() also balances its divs."""
+    clean = F.col(html) if cleaned else without_head(html)
     return {"html": clean, "body": plain(clean), "captions": captions(clean), "is_poem": is_poem(clean), "is_artwork": is_artwork(clean)}
 
 

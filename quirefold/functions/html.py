@@ -11,6 +11,7 @@ SEARCH_ENTITIES = (*article.ENTITIES, ("&apos;", "'"), ("&mdash;", "—"), ("&nd
 # Classes of blocks that don't stand inside an image box.
 TEXT_BLOCKS = ("Normal NormalN NormalT NormalTX NormalNX Cita CitaX EstrofaCita EstrofaCitaX Estrofa EstrofaI EstrofaT EstrofaTX Fuente FuenteX "
                "Título Titulo TítuloP TítuloS Subtítulo SubtítuloP PersonajeT AcotaciónT AcotaciónTX Autor AutorP Numeración Anatomía")
+# Patterns of script links and div tags, and imgbox, the class of image boxes.
 SCRIPT_LINK = r'(?i)<a[^>]*href="javascript:[^"]*"[^>]*>.*?</a>'
 TAG = r'<div\s[^>]*class="[^"]*"[^>]*>|</div>'
 
@@ -82,3 +83,9 @@ def balanced(df, column: str):
     left = surplus(work)
     ended = F.concat(F.regexp_replace(work, f"{T.WS}+$", ""), F.expr(f"repeat('\n</div>', (regexp_count({work}, '<div') - regexp_count({work}, '</div>')))"), F.lit("\n"))
     return df.withColumn(column, F.when(left > 0, ended).otherwise(F.col(work))).drop(work)
+
+
+def processed(df, column: str = "html"):
+    """df with the derived columns of its articles: head blocks and page links out, divs balanced, then text, captions and flags of that."""
+    clean = balanced(df.withColumn(column, article.without_head(F.col(column))), column)
+    return clean.withColumns({name: c for name, c in article.processed(column, cleaned=True).items() if name != "html"})

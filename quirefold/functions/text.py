@@ -107,6 +107,7 @@ def fragment(c, at: Column, width: Column | int, around: int = 50) -> Column:
     return collapse(F.substring(c, start, at - start + width + around))
 
 
+# The texts of the labels.
 def distance_label(c) -> Column:
     return F.when(c < 0.2, "muy similar").when(c < 0.4, "similar").when(c < 0.6, "moderado").when(c < 0.8, "distinto").otherwise("muy distinto")
 

@@ -83,6 +83,7 @@ def known_place(c) -> Column:
     return F.when(~F.contains(c, F.lit("*ERR")), c)
 
 
+# The texts of the labels.
 def entropy_label(h_norm, reliable) -> Column:
     """Band of the normalised entropy; sums that miss an edge by rounding only count as on it."""
     h_norm = F.round(h_norm, 9)
@@ -90,15 +91,18 @@ def entropy_label(h_norm, reliable) -> Column:
             .when(h_norm < 0.75, "variado").otherwise("innovador"))
 
 
+# The texts of the labels.
 def few_authors(n, least: int = 5) -> Column:
     return F.when(n < least, F.format_string("%d autores de referencia", n))
 
 
+# The texts of the labels.
 def author_warning(n, label: str, least: int = 3) -> Column:
     """Too few texts of an author for a reliable trajectory."""
     return F.when(n == 0, F.lit(f"Este autor no tiene {label} en español.")).when(n < least, F.format_string(f"Este autor tiene solo %d {label} publicado(s); los resultados pueden ser poco fiables.", n))
 
 
+# The texts of the labels.
 def trend_label(points, difference) -> Column:
     """From the number of points of a trajectory and its last less its first z-score."""
     return (F.when(points < 2, "Sin datos suficientes").when(difference > 0.5, "Innovador (z-score creciente: el autor se aleja de la norma)")

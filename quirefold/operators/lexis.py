@@ -20,8 +20,9 @@ def hits(articles: DataFrame, word: str) -> DataFrame:
 
 
 def concordance_by(articles: DataFrame, word: str, by: str) -> DataFrame:
-    found = hits(articles, word).where("n > 0").where(F.col(by).isNotNull())
-    return found.groupBy(by).agg(F.sum("n").cast("long").alias("occurrences"), F.countDistinct("article_id").alias("articles"))
+    # Sums of none are dropped after the aggregate: a filter on the count would make the scan fold and count every text twice.
+    found = hits(articles, word).where(F.col(by).isNotNull()).groupBy(by).agg(F.sum("n").cast("long").alias("occurrences"), F.countDistinct(F.when(F.col("n") > 0, F.col("article_id"))).alias("articles"))
+    return found.where("occurrences > 0")
 
 
 def concordance_by_author(articles: DataFrame, authors: DataFrame, word: str) -> DataFrame:
@@ -62,29 +63,45 @@ def resolve(table: DataFrame, prefix: str) -> DataFrame:
     return table.where(F.col("word").startswith(prefix)).orderBy(F.desc(F.col("word") == prefix), F.desc("n"), "word").limit(1)
 
 
+def followers(words: DataFrame, word: str | None = None) -> DataFrame:
+    """word, successor, n from one explode; the last word of an article has a null successor, so a word's rows sum up to its frequency."""
+    pairs = F.expr("transform(words, (w, i) -> named_struct('word', w, 'successor', get(words, i + 1)))")
+    if word is not None:
+        pairs = F.filter(pairs, lambda p: (p["word"] == word) | F.coalesce(p["successor"] == word, F.lit(False)))
+    # A generated column is a barrier: the words are made once, not wherever they are used.
+    held = words.select(F.explode(F.array("words")).alias("words"))
+    return held.select(F.inline_outer(pairs)).where("word is not null").groupBy("word", "successor").agg(F.count("*").alias("n"))
+
+
+def _chain(words: DataFrame, word: str, token: str, k: int | None) -> DataFrame:
+    """Pairs that hold the word are few rows, so its frequency is a sum over all of them."""
+    rows = followers(words, word)
+    rows = rows.withColumn("total", F.sum(F.when(F.col("word") == word, F.col("n")).otherwise(0)).over(Window.partitionBy(F.lit(0))))
+    rows = rows.where((F.col("word") == word) & F.col("successor").isNotNull()) if token == "successor" else rows.where(F.col("successor") == word)
+    out = rows.select(F.col("successor" if token == "successor" else "word").alias(token), "n", (F.col("n") / F.col("total")).alias("p"))
+    return out.orderBy(F.desc("n"), token).limit(k) if k else out
+
+
 def successors(words: DataFrame, word: str, k: int | None = 10) -> DataFrame:
     """p = n(word, next) / n(word); words that end an article count below the line."""
-    total = unigrams(words.where(F.array_contains("words", word))).where(F.col("word") == word).select("word", F.col("n").alias("total"))
-    out = bigrams(words.where(F.array_contains("words", word))).where(F.col("word") == word).join(total, "word")
-    out = out.select("successor", "n", (F.col("n") / F.col("total")).alias("p"))
-    return out.orderBy(F.desc("n"), "successor").limit(k) if k else out
+    return _chain(words, word, "successor", k)
 
 
 def predecessors(words: DataFrame, word: str, k: int | None = 10) -> DataFrame:
     """p = n(before, word) / n(word)."""
-    held = words.where(F.array_contains("words", word))
-    total = unigrams(held).where(F.col("word") == word).select("word", F.col("n").alias("total"))
-    out = bigrams(held).where(F.col("successor") == word).select(F.col("word").alias("predecessor"), F.col("successor").alias("word"), "n").join(total, "word")
-    out = out.select("predecessor", "n", (F.col("n") / F.col("total")).alias("p"))
-    return out.orderBy(F.desc("n"), "predecessor").limit(k) if k else out
+    return _chain(words, word, "predecessor", k)
 
 
 def entropy(words: DataFrame) -> DataFrame:
-    """Per word: frequency, successor entropy in bits, its maximum, normalised value and reliability (5 or more)."""
-    out = bigrams(words).join(unigrams(words).withColumnRenamed("n", "total"), "word").withColumn("p", F.col("n") / F.col("total"))
-    out = out.groupBy("word").agg(F.max("total").alias("frequency"), F.count("*").alias("followers"), (-F.sum(F.col("p") * F.log2("p"))).alias("h"))
+    """Per word: frequency, successor entropy in bits, its maximum, normalised value and reliability (5 or more).
+
+    With t the frequency and s the sum of the successors' counts n, the entropy is s / t * log2(t) - sum(n * log2(n)) / t,
+    so one aggregate over the pairs gives all. Words without successors are left out."""
+    there = F.col("successor").isNotNull()
+    out = followers(words).groupBy("word").agg(F.sum("n").alias("frequency"), F.count("successor").alias("followers"), F.sum(F.when(there, F.col("n"))).alias("__s"), F.sum(F.when(there, F.col("n") * F.log2("n"))).alias("__h"))
+    out = out.where("followers > 0").withColumn("h", F.greatest(F.lit(0.0), F.col("__s") / F.col("frequency") * F.log2("frequency") - F.col("__h") / F.col("frequency")))
     top = F.log2(F.col("followers").cast("double"))
-    return out.withColumns({"h_max": top, "h_norm": F.when(top > 0, F.col("h") / top).otherwise(0.0), "reliable": F.col("frequency") >= 5})
+    return out.select("word", "frequency", "followers", "h", top.alias("h_max"), F.when(top > 0, F.col("h") / top).otherwise(0.0).alias("h_norm"), (F.col("frequency") >= 5).alias("reliable"))
 
 
 def prefix_counts(articles: DataFrame, prefix: str, by: str = "magazine") -> DataFrame:

@@ -144,3 +144,32 @@ def sync_by_name(new: DataFrame, existing: DataFrame) -> DataFrame:
     out = new.withColumn("key", T.name_key("name")).join(side, "key", "left")
     action = F.when(F.col("match_id").isNull(), "create").when(F.col("old").eqNullSafe(F.col("id_legacy")), "skip").otherwise("update")
     return out.select("id_legacy", "name", "match_id", action.alias("action"))
+
+
+def relation_changes(sheet: DataFrame, existing: dict[str, DataFrame], known: dict[str, DataFrame], owner: str) -> DataFrame:
+    """owner, relation, connect, disconnect, unresolved: what makes each owner's relations those of its sheet row.
+
+    sheet(owner, <relation>: array of names, ...) has a column for each relation; null leaves that relation alone, an
+    empty array empties it. existing[relation](owner, id) and known[relation](id, name) hold links and names, compared
+    without regard to case and edges, of several ids of a name the smallest. Names that nothing has are unresolved.
+    Arrays are sorted; an owner without a difference gives no row unless a name is unresolved."""
+    out = None
+    for relation, links in existing.items():
+        key = lambda c: F.lower(T.trim(c))
+        asked = sheet.where(F.col(relation).isNotNull()).select(owner, F.explode_outer(relation).alias("__name")).distinct()
+        ids = known[relation].groupBy(key(F.col("name")).alias("__k")).agg(F.min("id").alias("__id")).where("__k is not null")
+        wanted = asked.withColumn("__k", key(F.col("__name"))).join(ids, "__k", "left").groupBy(owner).agg(
+            F.collect_set("__id").alias("wanted"), F.array_sort(F.collect_set(F.when(F.col("__id").isNull() & (F.col("__k") != ""), F.col("__name")))).alias("unresolved"))
+        held = links.groupBy(owner).agg(F.collect_set("id").alias("held"))
+        both = wanted.join(held, owner, "left").withColumn("held", F.coalesce("held", F.array().cast(held.schema["held"].dataType)))
+        part = both.select(owner, F.lit(relation).alias("relation"), F.array_sort(F.array_except("wanted", "held")).alias("connect"), F.array_sort(F.array_except("held", "wanted")).alias("disconnect"), "unresolved")
+        part = part.where((F.size("connect") > 0) | (F.size("disconnect") > 0) | (F.size("unresolved") > 0))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def related(links: DataFrame, changes: DataFrame, relation: str, owner: str) -> DataFrame:
+    """links(owner, id) of a relation after changes of relation_changes()."""
+    own = changes.where(F.col("relation") == relation)
+    gone = own.select(owner, F.explode("disconnect").alias("id"))
+    return links.select(owner, "id").join(gone, [owner, "id"], "left_anti").unionByName(own.select(owner, F.explode("connect").alias("id"))).distinct()

@@ -1,7 +1,7 @@
 """Registered queries over article HTML, imports, word roots and advert analyses, with their SQL."""
 from pyspark.sql import functions as F
 
-from ..functions import article
+from ..functions import article, html
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import corpus, lexis, loading, roots, search, vectors
@@ -28,7 +28,7 @@ def _html(spark, d):
 
 @query(f"with {RAW}, b as (select article_id, html, {LEFT} as rest from cut) select article_id, {SQUASH.format(DECODE.format(UNTAG))} as body, {CAPTIONS} as captions, len(regexp_extract_all(rest, '<div class=\"Estrofa[^\"]*\"')) + len(regexp_extract_all(rest, '<div class=\"Normal[^\"]*\"')) > 0 and len(regexp_extract_all(rest, '<div class=\"Estrofa[^\"]*\"')) >= len(regexp_extract_all(rest, '<div class=\"Normal[^\"]*\"')) as is_poem, contains(rest, '<div class=\"imgbox\">') and not contains(rest, '<div class=\"DescrI\">') and not regexp_matches(rest, '<div class=\"(?:Normal|Estrofa|Cita)') as is_artwork from b")
 def q25_article_columns(spark, d):
-    return _html(spark, d).select("article_id", *(c.alias(n) for n, c in article.processed("html").items() if n != "html"))
+    return html.processed(_html(spark, d)).drop("html")
 
 
 @query(f"with {RAW}, c as (select article_id, {CAPTIONS} as captions from raw) select article_id, captions from c where captions <> '' and contains({FOLD.format('captions')}, 'que') order by article_id limit 20")
@@ -97,9 +97,11 @@ def q36_author_sync(spark, d):
     return loading.sync_by_name(new, old).drop("match_id")
 
 
-@query("select p_partkey, case when m is null then 'create' else 'update' end as action, m as match_id from part left join (select s_suppkey as p_partkey, min(s_suppkey) as m from supplier group by 1) using (p_partkey)")
+@query("select p_partkey, case when coalesce(a.s_suppkey, b.m) is null then 'create' else 'update' end as action, coalesce(a.s_suppkey, b.m) as match_id from part left join supplier a on a.s_suppkey = p_partkey left join (select s_name, min(s_suppkey) as m from supplier group by 1) b on b.s_name = (select min(s_name) from supplier s where s.s_suppkey = p_partkey - 50)")
 def q32_import_actions(spark, d):
-    new = t(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("legacy"), F.concat(F.lit("Supplier#"), F.lpad(F.col("p_partkey").cast("string"), 12, "x")).alias("slug"))
+    """Parts by their number, else by the name of the supplier fifty numbers before."""
+    names = t(spark, d, "supplier").groupBy((F.col("s_suppkey") + 50).alias("p_partkey")).agg(F.min("s_name").alias("slug"))
+    new = t(spark, d, "part").join(names, "p_partkey", "left").select("p_partkey", F.col("p_partkey").alias("legacy"), "slug")
     old = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("legacy"), F.col("s_name").alias("slug"))
     return loading.classify(new, old, [["legacy"], ["slug"]]).select("p_partkey", "action", "match_id")
 

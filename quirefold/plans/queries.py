@@ -195,9 +195,9 @@ def fn02_fold(spark, d):
     return t(spark, d, "documents").select("doc_id", T.fold("text").alias("folded"))
 
 
-@query("select doc_id, regexp_replace(regexp_replace(lower(strip_accents(left(text, 60))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from documents")
+@query("select doc_id, regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from documents")
 def fn28_slug(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.slug(F.left("text", F.lit(60))).alias("slug"))
+    return t(spark, d, "documents").select("doc_id", T.slug("text").alias("slug"))
 
 
 KEY = "array_to_string(list_sort(list_filter(string_split_regex(lower(strip_accents({})), '[^a-z]+'), lambda w: w <> '')), ' ')"
@@ -208,11 +208,13 @@ def fn32_name_key(spark, d):
     return t(spark, d, "part").select("p_partkey", T.name_key("p_name").alias("name_key"))
 
 
-@query(f"with b as (select {KEY.format('n_name')} as k, n_nationkey as match_id from nation) select r_regionkey as id, r_name as name, (select min(match_id) from b where k = {KEY.format('r_name')}) as match_id from region")
+@query(f"with b as (select {KEY.format('p_name')} as k, p_partkey as match_id, p_size as activity from part where p_partkey % 3 <> 0), m as (select k, arg_min(match_id, (-activity, match_id)) as match_id, max(activity) as activity from b group by k), l as (select p_partkey as id, array_to_string(list_reverse(string_split(upper(p_name), ' ')), ', ') as name from part) select id, name, match_id, activity from l left join m on k = {KEY.format('name')}")
 def q28_exact_match(spark, d):
-    left = t(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    right = t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(0).alias("activity"))
-    return entities.exact_match(left, right).select("id", "name", "match_id")
+    """Part names written backwards, to the largest part of the same words among two thirds of the parts."""
+    part = t(spark, d, "part")
+    left = part.select(F.col("p_partkey").alias("id"), F.array_join(F.reverse(F.split(F.upper("p_name"), " ")), ", ").alias("name"))
+    right = part.where("p_partkey % 3 != 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("activity"))
+    return entities.exact_match(left, right)
 
 
 SIG = "list_distinct(list_filter(string_split_regex(lower(strip_accents({})), '[^a-z]+'), lambda w: length(w) >= 3))"
@@ -246,9 +248,9 @@ def jn01_join_chain(spark, d):
     return lines.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select o_custkey * 3 as c_custkey from orders where o_custkey * 3 not in (select c_custkey from customer)")
 def sk03_insert_absent(spark, d):
-    return entities.insert_absent(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return entities.insert_absent(t(spark, d, "orders").select((F.col("o_custkey") * 3).alias("c_custkey")), t(spark, d, "customer").select("c_custkey"), ["c_custkey"])
 
 
 @query("select user_id, event_id, value, cast(r as int) as rank from (select user_id, event_id, value, row_number() over (partition by user_id order by value desc nulls last, event_id) as r from events) where r <= 3")

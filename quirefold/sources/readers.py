@@ -1,4 +1,6 @@
-"""File readers and writers."""
+"""File readers and writers, databases and parameterised statements."""
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +27,42 @@ def read_lemmas(spark: SparkSession, path: str) -> DataFrame:
     return forms.unionByName(own)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
+def read_jdbc(spark: SparkSession, url: str, table: str, bounds: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
+    """A table of a database; with bounds (column, lowest, highest, parts) it is read in so many ranges of the column at once.
+
+    Rows outside of the bounds belong to the first and last range, so none is lost."""
+    if bounds is not None:
+        options |= dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), bounds))
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+#: Parts of a statement that may look like markers but are text, names or remarks.
+QUOTED = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/"
+
+
+def sql(spark: SparkSession, statement: str, values=(), **tables: DataFrame) -> DataFrame:
+    """A statement over the given tables, with values bound to its markers: ? and $1 by order, :name by name.
+
+    Values are bound after parsing, so whatever they hold stays a value. A list for one marker, as in array_contains(:ids,
+    id), is an array. Tables are temporary views for this statement alone."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    try:
+        if isinstance(values, dict):
+            return spark.sql(statement, args=values)
+        values = list(values)
+        numbered = {int(m[1]) for m in re.finditer(rf"{QUOTED}|\$([0-9]+)", statement, re.S) if m[1]}
+        if numbered:
+            if max(numbered) > len(values) or min(numbered) < 1:
+                raise ValueError("a marker has no value")
+            text = re.sub(rf"({QUOTED})|\$([0-9]+)", lambda m: m[1] or f":__{m[2]}", statement, flags=re.S)
+            return spark.sql(text, args={f"__{i}": values[i - 1] for i in numbered})
+        return spark.sql(statement, args=values) if values else spark.sql(statement)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
 
