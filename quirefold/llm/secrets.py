@@ -28,27 +28,49 @@ def novelty(candidate: str, context: str, names: str = "", level: int = 3) -> fl
     return (len(press.compress(data)) - len(press.compress(b""))) / len(data)
 
 
-def scan(text: str, around: int = 200, least: float = 0.85) -> tuple[list, list]:
+def repeated_names(text: str, most: int = 4000) -> str:
+    """Identifiers that a text uses more than once, the most frequent first (ties by name), ``most`` signs in all."""
+    counts = Counter(NAME.findall(text))
+    out, size = [], 0
+    for _, x in sorted((-n, x) for x, n in counts.items() if n > 1):
+        size += len(x) + 1
+        if size > most:
+            break
+        out.append(x)
+    return " ".join(out)
+
+
+def scan(text: str, around: int = 200, least: float = 0.85, near: int = 2000) -> tuple[list, list]:
+    """(base spans, all spans). A candidate off the base spans is tested where a sensitive word stands before it.
+
+    The compressor knows the identifiers that the file repeats, those once within ``near`` signs that the candidate
+    doesn't hold, and the text ``around`` it: as much for each candidate, however long the file."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    found, names = [], None
+    found, names, k, end = [], None, 0, -1
     for m in CANDIDATE.finditer(text):
-        s = m[0]
+        s, a, b = m[0], m.start(), m.end()
+        # Base spans that begin before the candidate ends, and how far they reach.
+        while k < len(base) and base[k][0] < b:
+            end = max(end, base[k][2])
+            k += 1
+        if end > a:
+            continue
         mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-        if mixed and SENSITIVE.search(text, max(0, m.start() - 40), m.start()):
-            near = text[max(0, m.start() - around):m.start()] + " " + text[m.end():m.end() + around]
+        if mixed and SENSITIVE.search(text, max(0, a - 40), a):
             if names is None:
-                names = Counter(NAME.findall(text))
-            if novelty(s, near, " ".join(x for x, n in names.items() if x not in s or n > 1)) >= least:
-                found.append((m.start(), 3, m.end()))
+                names = repeated_names(text)
+            once = " ".join(x for x in dict.fromkeys(NAME.findall(text[max(0, a - near):a] + " " + text[b:b + near])) if x not in s)
+            if novelty(s, text[max(0, a - around):a] + " " + text[b:b + around], f"{once} {names}") >= least:
+                found.append((a, 3, b))
     return base, sorted(base + found)
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
-    """Spans of secrets in each whole text (null: empty): base kinds, and 'novel' ones by the compressor.
+    """Spans of secrets in each whole text (null: empty): base kinds, and off these 'novel' ones by the compressor.
 
     Every row gives one row; empty texts have no spans; ties at one start go by kind; repeated rows stay; an empty
     table gives an empty result; other columns are ignored. Offsets are code points.
