@@ -114,3 +114,13 @@ def distance_label(c) -> Column:
 
 def leading_int(c) -> Column:
     return F.expr(f"try_cast(regexp_extract({c}, '^\\\\s*([+-]?[0-9]+)', 1) as int)") if isinstance(c, str) else F.regexp_extract(c, r"^\s*([+-]?[0-9]+)", 1).try_cast("int")
+
+
+def running(array: str) -> str:
+    """SQL of the sums before each number of an array column, by blocks of about the root of its size, so that the work is no square of it."""
+    none = "cast(array() as array<int>)"
+    step = f"cast(ceil(sqrt(size({array}))) as int)"
+    blocks = f"transform(sequence(0, (size({array}) - 1) div {step}), i -> slice({array}, i * {step} + 1, {step}))"
+    each = f"(b, at) -> aggregate(b, named_struct('at', at, 'out', {none}), (a, x) -> named_struct('at', a.at + x, 'out', concat(a.out, array(a.at))), a -> a.out)"
+    firsts = f"aggregate(bs, named_struct('at', 0, 'out', {none}), (a, b) -> named_struct('at', a.at + aggregate(b, 0, (n, x) -> n + x), 'out', concat(a.out, array(a.at))), a -> a.out)"
+    return f"case when size({array}) > 0 then transform(array({blocks}), bs -> flatten(zip_with(bs, {firsts}, {each})))[0] else {none} end"

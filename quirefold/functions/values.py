@@ -150,3 +150,8 @@ def filled_place(lat, lng, found_lat, found_lng) -> tuple[Column, Column]:
 def colour(place, colours=("#2563eb", "#dc2626", "#059669", "#d97706"), other: str = "#6b7280") -> Column:
     """Colour by the place of an author in the request, from 1 on."""
     return F.coalesce(F.get(F.array(*(F.lit(x) for x in colours)), place - 1), F.lit(other))
+
+
+def iso_now() -> Column:
+    """The time of the query, to milliseconds, in UTC as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -21,7 +21,19 @@ def fuzzy_match(left: DataFrame, right: DataFrame, least: float = 0.5, k: int =
     # Names of the same words have the same scores: each set of words is compared once, and only its k first ids can be among the k best.
     first = Window.partitionBy("other").orderBy(F.desc("activity"), "match_id")
     b = b.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r")
-    sets = a.select("words").distinct().withColumn("w", F.explode("words")).join(b.select("other").distinct().withColumn("w", F.explode("other")), "w").select("words", "other").distinct()
+    # The smaller of two near sets has one of its rarest words in common with the other: frequent words are met by few sets.
+    left, right = a.select("words").distinct(), b.select("other").distinct()
+    often = left.select(F.explode("words").alias("w")).union(right.select(F.explode("other").alias("w"))).groupBy("w").agg(F.count("*").alias("often"))
+
+    def rarest(sets: DataFrame, column: str) -> DataFrame:
+        """column, w: so many of each set's words, the rarest first, that the others are too few for a near set."""
+        each = sets.select(column, F.explode(column).alias("w")).join(often, "w").groupBy(column).agg(F.array_sort(F.collect_list(F.struct("often", "w"))).alias("__o"))
+        first = F.size("__o") - F.greatest(F.lit(1), F.ceil(F.lit(least) * F.size("__o"))).cast("int") + 1
+        return each.select(column, F.explode(F.slice("__o", F.lit(1), first)).alias("__r")).select(column, F.col("__r.w").alias("w"))
+    whole = lambda sets, column: sets.select(column, F.explode(column).alias("w"))
+    small = rarest(left, "words").join(whole(right, "other"), "w").where(F.size("words") <= F.size("other")).select("words", "other")
+    large = whole(left, "words").join(rarest(right, "other"), "w").where(F.size("words") > F.size("other")).select("words", "other")
+    sets = small.union(large).distinct()
     shared = F.size(F.array_intersect("words", "other"))
     sets = sets.withColumns({"overlap": shared / F.least(F.size("words"), F.size("other")), "jaccard": shared / F.size(F.array_union("words", "other"))}).where(F.col("overlap") >= least)
     best = [F.desc("overlap"), F.desc("jaccard"), F.desc("activity"), "match_id"]

@@ -38,9 +38,9 @@ def yearly_density(articles: DataFrame, word: str) -> DataFrame:
 def keyword_lines(articles: DataFrame, word: str, around: int = 50) -> DataFrame:
     """One row a body hit, with the text around it; offsets come from summed lengths of the pieces between hits."""
     pieces = F.split(T.fold(F.coalesce("body", F.lit(""))), T.whole_word(word), -1)
-    df = articles.select("article_id", "magazine", "year", "body", pieces.alias("pieces")).where("size(pieces) > 1")
-    places = F.expr(f"aggregate(slice(pieces, 1, size(pieces) - 1), named_struct('at', 1, 'out', cast(array() as array<int>)), (a, p) -> named_struct('at', a.at + length(p) + {len(word)}, 'out', concat(a.out, array(a.at + length(p)))), a -> a.out)")
-    df = df.select("article_id", "magazine", "year", "body", F.posexplode(places).alias("hit", "place"))
+    df = articles.select("article_id", "magazine", "year", "body", F.explode(F.array(F.transform(pieces, F.length))).alias("sizes")).where("size(sizes) > 1")
+    # A hit stands after the pieces up to it and the hits before.
+    df = df.withColumn("before", F.expr(T.running("sizes"))).select("article_id", "magazine", "year", "body", F.posexplode(F.expr(f"transform(slice(before, 2, size(before)), (x, i) -> x + 1 + i * {len(word)})")).alias("hit", "place"))
     return df.select("article_id", "magazine", "year", "hit", F.col("place"), T.fragment("body", F.col("place"), len(word), around).alias("line"))
 
 

@@ -1,9 +1,10 @@
 """Idempotent imports and updates: each gives the change set as a DataFrame, so a dry run is a count of it."""
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from .ranks import numbered
 
 
 def resolved(rows: DataFrame, key: str, table: DataFrame, table_key: str, into: str) -> DataFrame:
@@ -31,7 +32,8 @@ def unique_slugs(rows: DataFrame, slug: str, existing: DataFrame, order: list[st
     never give the same one, as the last hyphen and number part it. A null slug counts as empty."""
     rows = rows.withColumn(slug, F.coalesce(slug, F.lit("")))
     there = existing.select(slug).where(F.col(slug).isNotNull()).distinct().withColumn("__there", F.lit(1))
-    ranked = rows.join(there, slug, "left").withColumn("__n", F.row_number().over(Window.partitionBy(slug).orderBy(*order)) - 1 + F.coalesce("__there", F.lit(0)))
+    # Very many rows may have one slug, as the empty one of nulls.
+    ranked = numbered(rows, slug, order, "__n").join(there, slug, "left").withColumn("__n", (F.col("__n") - 1 + F.coalesce("__there", F.lit(0))).cast("int"))
     held = rows.select(slug).union(existing.select(slug)).where(F.col(slug).rlike("-[1-9][0-9]{0,8}$")).distinct()
     taken = held.select(F.regexp_extract(slug, "^(?s)(.*)-[0-9]+$", 1).alias(slug), F.regexp_extract(slug, "([0-9]+)$", 1).cast("int").alias("k"))
     taken = taken.groupBy(slug).agg(F.array_sort(F.collect_set("k")).alias("__taken"))
@@ -173,3 +175,20 @@ def related(links: DataFrame, changes: DataFrame, relation: str, owner: str) ->
     own = changes.where(F.col("relation") == relation)
     gone = own.select(owner, F.explode("disconnect").alias("id"))
     return links.select(owner, "id").join(gone, [owner, "id"], "left_anti").unionByName(own.select(owner, F.explode("connect").alias("id"))).distinct()
+
+
+def new_publications(sheet: DataFrame, existing: DataFrame, files: DataFrame, order: list[str]) -> DataFrame:
+    """title, slug, first_year, last_year, place, cover, action of sheet(title, first, last, place) rows.
+
+    A row is created unless existing(slug), or a row before it in ``order``, has its slug. Years that are no numbers, or
+    nought, and blank places are null; the cover is the image file of the title's name, null without one."""
+    rows = image_files(sheet.withColumn("title", T.trim(F.coalesce("title", F.lit("")))), files).withColumnRenamed("path", "cover")
+    rows = rows.withColumns({"slug": V.slug_words("title", 80), "first_year": V.known_year(F.expr("try_cast(first as int)")), "last_year": V.known_year(F.expr("try_cast(last as int)")), "place": V.blank_null(F.col("place"))})
+    ranked = numbered(rows, "slug", order, "__n").join(existing.select("slug").distinct().withColumn("__there", F.lit(True)), "slug", "left")
+    create = F.col("__there").isNull() & (F.col("__n") == 1)
+    return ranked.select("title", "slug", "first_year", "last_year", "place", "cover", F.when(create, "create").otherwise("skip").alias("action"))
+
+
+def categories(table: DataFrame, seed: DataFrame) -> DataFrame:
+    """The categories in order of their ids, the seed ones where there are none yet."""
+    return seeded(table, seed).orderBy("id")

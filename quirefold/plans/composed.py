@@ -97,7 +97,16 @@ def fn18_sanitised(spark, d):
     return t(spark, d, "pages").select("page_id", html.sanitised("html").alias("html"))
 
 
-@query()
+def _units(html, pattern, code):
+    """SQL of a text in which numeric entities are the signs of their units."""
+    return f"array_to_string(list_transform(list_zip(string_split_regex({html}, '{pattern}'), list_concat(list_transform(regexp_extract_all({html}, '{pattern}', 1), lambda n: {code}), [''])), lambda z: z[1] || z[2]), '')"
+
+
+TYPOGRAPHIC = "replace(replace(replace(replace(replace(replace(replace({}, '&apos;', ''''), '&mdash;', '—'), '&ndash;', '–'), '&ldquo;', '“'), '&rdquo;', '”'), '&lsquo;', '‘'), '&rsquo;', '’')"
+STRIPPED = "regexp_replace(" + OPENED.format("coalesce(html, '')") + ", '<[^>]+>', '', 'g')"
+
+
+@query(f"with a as (select page_id, {STRIPPED} as x from pages), b as (select page_id, {_units('x', '&#([0-9]{1,38});', 'chr(cast(cast(n as hugeint) % 65536 as int))')} as x from a), c as (select page_id, {_units('x', '&#x([0-9a-fA-F]{1,32});', 'chr(cast((chr(48) || chr(120) || right(n, 4)) as int))')} as x from b) select page_id, {TYPOGRAPHIC.format(NAMED.format('x'))} as body from c")
 def fn11_search_text(spark, d):
     return t(spark, d, "pages").select("page_id", html.search_text("html").alias("body"))
 

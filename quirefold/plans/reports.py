@@ -1,6 +1,7 @@
 """Registered queries over root proximity, parameterised statements, nested responses and relation updates, with their SQL."""
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators import corpus, lexis, loading, responses, roots
 from ..operators.corpus import Scope
 from ..sources import readers
@@ -81,3 +82,41 @@ def q34_sheet_update(spark, d):
     known = {"themes": spark.range(9).select("id", F.concat(F.lit("t"), "id").alias("name")), "authors": spark.range(23).select("id", F.concat(F.lit("a"), "id").alias("name"))}
     out = loading.relation_changes(sheet, links, known, "article_id")
     return out.select("article_id", "relation", *(F.array_join(c, ",").alias(c) for c in ("connect", "disconnect", "unresolved")))
+
+
+SLUGGED = "left(regexp_replace(regexp_replace(trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), '-+', '-', 'g'), 80)"
+
+
+@query(f"""with s as (select p_partkey, p_name, p_size, {SLUGGED} as slug, row_number() over (partition by {SLUGGED} order by p_partkey) as n from part), o as (select distinct {SLUGGED} as slug from part where p_partkey % 40 = 1),
+  f as (select lower(replace(p_name, ' ', '_')) as k, max('/covers/' || replace(p_name, ' ', '_') || '.jpg') as path from part where p_partkey % 3 = 0 group by 1)
+  select p_name as title, s.slug, case when p_size % 4 <> 0 then 1900 + p_size end as first_year, case when p_size % 3 <> 0 then 1910 + p_size end as last_year, case when p_size % 5 <> 0 then 'City' end as place, path as cover, case when o.slug is null and n = 1 then 'create' else 'skip' end as action from s left join o using (slug) left join f on k = lower(replace(p_name, ' ', '_'))""")
+def q35_new_publications(spark, d):
+    """A sheet of magazines, made of part names, with covers by file name; slugs that are there, or come before, are skipped."""
+    part = t(spark, d, "part")
+    text = lambda c, no: F.when(F.col("p_size") % no != 0, c)
+    sheet = part.select("p_partkey", F.col("p_name").alias("title"), F.coalesce(text((F.lit(1900) + F.col("p_size")).cast("string"), 4), F.lit("s. a.")).alias("first"), F.coalesce(text((F.lit(1910) + F.col("p_size")).cast("string"), 3), F.lit("0")).alias("last"),
+                        F.coalesce(text(F.lit(" City "), 5), F.lit(" ")).alias("place"))
+    there = part.where("p_partkey % 40 = 1").select(V.slug_words("p_name", 80).alias("slug"))
+    files = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("/covers/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".jpg")).alias("path"))
+    return loading.new_publications(sheet, there, files, ["p_partkey"])
+
+
+@query("select s_suppkey, case when s_suppkey % 3 = 0 then 43.5 else null end as lat2, case when s_suppkey % 2 = 0 then s_acctbal else -3.5 end as lng2 from supplier where s_suppkey % 3 = 0 or s_suppkey % 2 = 1")
+def q39_second_place(spark, d):
+    """Coordinates of a second place that a list gives, over those that are there."""
+    now = t(spark, d, "supplier").select("s_suppkey", F.lit(None).cast("double").alias("lat2"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")).alias("lng2"))
+    new = now.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.lit(43.5)).alias("lat2"), F.when(F.col("s_suppkey") % 2 == 1, F.lit(-3.5)).alias("lng2"))
+    return loading.merge_filled(now, new, "s_suppkey", ["lat2", "lng2"], force=True)
+
+
+@query("select distinct label as id, 'c' || label as nombre, label % 2 = 0 as activa from embeddings where label is not null order by id")
+def q11_categories(spark, d):
+    seed = t(spark, d, "embeddings").where("label is not null").select(F.col("label").alias("id"), F.concat(F.lit("c"), "label").alias("nombre"), (F.col("label") % 2 == 0).alias("activa")).distinct()
+    return loading.categories(seed.limit(0), seed)
+
+
+@query(f"with {ARTICLES} select year, count(*) as n, count(*) filter (is_advert) as adverts from articles where year is not null group by year order by year")
+def st02_by_year(spark, d):
+    """Articles and adverts of each year, years upwards."""
+    a = corpus.articles(spark, d).where("year is not null")
+    return a.groupBy("year").agg(F.count("*").alias("n"), F.count_if("is_advert").alias("adverts")).orderBy("year")
