@@ -1,4 +1,4 @@
-"""WARC records in ZIP archives with an index: writer, and a reader that parses the directories and reads ranges."""
+"""WARC records in ZIP archives with an index: a writer of files, and a reader that opens them where they are, parses the directories and reads ranges."""
 import hashlib
 import io
 import json
@@ -8,10 +8,11 @@ import zipfile
 import zlib
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import meet, small_batches, written
+from .common import meet, shared_dir, small_batches, written
 
 #: Repeated digests up to which their counted list is broadcast.
 DIGESTS = 200_000
@@ -66,8 +67,10 @@ def parse(raw: bytes) -> tuple[dict, bytes]:
     return heads, body[:int(heads["Content-Length"])]
 
 
-def read_archive(read_at, size: int):
-    """(headers, payload) of each record the index lists, each read by its range."""
+def read_archive(read_at, size: int, pick=None):
+    """(headers, payload) of each record the index lists, each read by its range; with ``pick`` of those entries alone.
+
+    What is read besides is the end of the archive with its directory, four bytes a member, and the index."""
     entries = directory(read_at, size)
     method, start, _ = entries[MEMBER]
     if method:
@@ -75,13 +78,21 @@ def read_archive(read_at, size: int):
     _, at, length = entries[INDEX]
     for line in read_at(at, length).decode().splitlines():
         place = json.loads(line)
-        yield parse(zlib.decompress(read_at(start + place["offset"], place["length"]), 31))
+        if pick is None or pick(place):
+            yield parse(zlib.decompress(read_at(start + place["offset"], place["length"]), 31))
 
 
 def write_archives(records: DataFrame, limit: int = 4 << 20) -> DataFrame:
-    """(archive, bytes) rows: ZIP files of stored members, closed once they exceed ``limit`` bytes of records."""
+    """(archive, size) rows of the ZIP files of stored members that are written to the shared folder, closed once they exceed ``limit`` bytes.
+
+    A task writes files of its own names, and only those of tasks that end are listed; write the result before it is read,
+    as every evaluation writes archives anew."""
+    folder = f"{shared_dir(records.sparkSession)}/archives-{uuid.uuid4().hex}"
+
     def run(batches):
         data, index = io.BytesIO(), []
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
 
         def close():
             out = io.BytesIO()
@@ -89,13 +100,16 @@ def write_archives(records: DataFrame, limit: int = 4 << 20) -> DataFrame:
                 for name, body in ((MEMBER, data.getvalue()), (INDEX, "\n".join(index).encode())):
                     with z.open(zipfile.ZipInfo(name), "w", force_zip64=True) as f:
                         f.write(body)
-            return pd.DataFrame({"archive": [uuid.uuid4().hex], "bytes": [out.getvalue()]})
+            name = f"{uuid.uuid4().hex}.zip"
+            with store.open_output_stream(f"{base}/{name}") as f:
+                f.write(out.getvalue())
+            return pd.DataFrame({"archive": [f"{folder}/{name}"], "size": [len(out.getvalue())]})
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 raw = record(r.record_type, r.page_id, r.url, (r.html or "").encode() if r.record_type == "response" else b"", r.payload_bytes, r.payload_digest, r.refers_to)
                 press = zlib.compressobj(1, zlib.DEFLATED, 31)
                 packed = press.compress(raw) + press.flush()
-                index.append(json.dumps({"offset": data.tell(), "length": len(packed)}))
+                index.append(json.dumps({"url": r.url, "page": r.page_id, "type": r.record_type, "digest": r.payload_digest, "offset": data.tell(), "length": len(packed)}))
                 data.write(packed)
                 if data.tell() >= limit:
                     yield close()
@@ -103,21 +117,27 @@ def write_archives(records: DataFrame, limit: int = 4 << 20) -> DataFrame:
         if index:
             yield close()
     text = [F.col(c).cast("string").alias(c) for c in ("page_id", "refers_to")]
-    return small_batches(records.select(*text, "url", "html", "record_type", "payload_bytes", "payload_digest")).mapInPandas(run, "archive string, bytes binary")
+    return small_batches(records.select(*text, "url", "html", "record_type", "payload_bytes", "payload_digest")).mapInPandas(run, "archive string, size long")
+
 
+def read_archives(archives: DataFrame, pick=None, a_task: int = 4) -> DataFrame:
+    """One row a record of the listed archives(archive, size), ``a_task`` archives a task; with ``pick`` of the index entries it keeps.
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """One row a record; a response's payload is measured and hashed anew, a revisit's comes from its headers."""
+    Files are opened where they are stored and read by ranges, so a task holds a record and an index at a time. A
+    response's payload is measured and hashed anew, a revisit's comes from its headers."""
     def run(batches):
         for pdf in batches:
-            for blob in pdf["bytes"]:
+            for path, size in zip(pdf["archive"], pdf["size"]):
                 rows = []
-                for heads, body in read_archive(lambda at, n, b=blob: b[at:at + n], len(blob)):
-                    there = heads["WARC-Type"] == "response"
-                    n, digest = (len(body), hashlib.sha1(body).hexdigest()) if there else (int(heads["X-Payload-Length"]), heads["WARC-Payload-Digest"][5:])
-                    rows.append((heads["WARC-Record-ID"][10:-1], n, digest, heads["WARC-Type"], heads.get("WARC-Refers-To", "<urn:page:>")[10:-1], heads["WARC-Target-URI"]))
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_file(at) as f:
+                    for heads, body in read_archive(lambda at, n: f.read_at(n, at), size, pick):
+                        there = heads["WARC-Type"] == "response"
+                        n, digest = (len(body), hashlib.sha1(body).hexdigest()) if there else (int(heads["X-Payload-Length"]), heads["WARC-Payload-Digest"][5:])
+                        rows.append((heads["WARC-Record-ID"][10:-1], n, digest, heads["WARC-Type"], heads.get("WARC-Refers-To", "<urn:page:>")[10:-1], heads["WARC-Target-URI"]))
                 yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
-    out = small_batches(archives.select("bytes")).mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
+    dealt = archives.select("archive", "size").repartition(max(1, -(-archives.count() // a_task)))
+    out = small_batches(dealt).mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
     number = lambda c: F.expr(f"try_cast({c} as bigint)").alias(c)
     return out.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"), "url")
 

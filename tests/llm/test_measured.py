@@ -7,7 +7,7 @@ import zlib
 
 import pandas as pd
 
-from quirefold.llm import decontaminate, licenses, media, secrets, toxicity
+from quirefold.llm import common, decontaminate, licenses, media, secrets, toxicity, warc
 from quirefold.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -157,3 +157,24 @@ def test_odd_rows_by_value(spark):
     scored = toxicity.toxicity_score(odd, ({"mit": 9.0}, -2.0))
     assert rows(scored, "doc_id", "predicted", "worst_sentence") == sorted([(1, 0, None)] * 2 + [(2, 0, None), (None, 1, "the mit license"), (4, 1, ("w " * 20000 + "mit license"))], key=str)
     assert scored.columns.count("score") == 1 and dict(scored.dtypes)["score"] == "double"
+
+
+def test_archives_are_read_by_ranges(spark):
+    """One record of a stored archive is found through the directory and the index, and little else of the file is read."""
+    rng = random.Random(11)
+    body = lambda i: f"<p>{i}</p>" + "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    pages = spark.createDataFrame([(i, f"http://x/{i}", body(i), "response", 20_000, f"d{i}", None) for i in range(60)], "page_id long, url string, html string, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    stored = common.written(warc.write_archives(pages.coalesce(1), limit=150_000), "warc")
+    assert stored.count() > 2
+    found = warc.read_archives(stored, lambda entry: entry["url"] == "http://x/31").collect()
+    assert [(r["page_id"], r["url"]) for r in found] == [(31, "http://x/31")] and warc.read_archives(stored).count() == 60
+    path, size = stored.first()
+    store, at = warc.fs.FileSystem.from_uri(path)
+    read = []
+    with store.open_input_file(at) as f:
+        def read_at(start, n):
+            read.append(n)
+            return f.read_at(n, start)
+        first = next(warc.read_archive(read_at, size))
+    index = sum(len(line) for line in open(at, "rb").read().split(b"\n") if line.startswith(b'{"url"'))
+    assert first[0]["WARC-Type"] == "response" and size > 150_000 and sum(read) < 65_557 + 20_000 + 2 * index + 2_000
