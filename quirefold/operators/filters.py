@@ -183,3 +183,25 @@ def page_bounds(df: DataFrame, order: list[str], size: int = 25) -> DataFrame:
     out = ranked.join(F.broadcast(ahead), "__part").withColumn("__n", F.col("__n") + F.col("__ahead"))
     out = out.where((F.col("__n") % size == 0) | (F.col("__n") == F.col("total")))
     return out.select(F.ceil(F.col("__n") / size).cast("int").alias("page"), "total", F.struct(*names).alias("bound"))
+
+
+def found(df: DataFrame, tree: dict = {}, fields: list[str] | None = None, populate: dict[str, list[str]] = {}, relations: dict[str, Relation] = {}, order: list[str] = ["id"], size: int = 25, after: tuple | None = None) -> DataFrame:
+    """A page of the rows that a filter tree keeps, with the fields asked for and related rows as arrays.
+
+    populate has the fields of each relation that is to come along: a sorted array of structs, empty where nothing is
+    related. Only relations of the page's rows are gathered. Unknown fields, relations and sorts raise an error."""
+    for name in populate:
+        if name not in relations:
+            raise ValueError(f"unknown relation {name}")
+    page = page_after(filtered(df, tree, relations), order, size, after)
+    fields = fields or list(df.columns)
+    for f in fields:
+        if f not in df.columns:
+            raise ValueError(f"unknown field {f}")
+    out = page.select(*dict.fromkeys([*fields, *(relations[n].ours for n in populate)]))
+    for name, wanted in populate.items():
+        relation = relations[name]
+        keys = page.select(F.col(relation.ours).alias(relation.theirs)).where(F.col(relation.theirs).isNotNull()).distinct()
+        side = relation.other.join(F.broadcast(keys), relation.theirs, "left_semi").groupBy(F.col(relation.theirs).alias("__theirs")).agg(F.array_sort(F.collect_list(F.struct(*wanted))).alias(name))
+        out = out.join(side, F.col(relation.ours) == F.col("__theirs"), "left").drop("__theirs").withColumn(name, F.coalesce(name, F.array().cast(side.schema[name].dataType)))
+    return out.select(*fields, *populate)

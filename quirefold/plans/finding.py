@@ -109,3 +109,13 @@ def sc16_keyset_page(spark, d):
     a = corpus.articles(spark, d).select("article_id", "year", "magazine")
     bound = filters.page_bounds(a, ORDER, 40).where("page = 2").first()
     return filters.page_after(a, ORDER, 40, tuple(bound["bound"]) if bound else None)
+
+
+@query(f"""with {ARTICLES}, {AUTHORS}, k as (select article_id, year, magazine from articles where language in ('es', 'fr') and article_id in (select article_id from authors where place = 2) order by year desc nulls last, article_id limit 30)
+  select article_id, year, magazine, (select string_agg(place || ' ' || author, ',' order by place, author) from authors a where a.article_id = k.article_id) as links from k""")
+def sc04_document_page(spark, d):
+    """A page of articles that have a second author, with all their authors in order."""
+    links = {"links": filters.Relation(corpus.authors(spark, d), "article_id", "article_id")}
+    tree = {"language": ["es", "fr"], "links": {"place": 2}}
+    page = filters.found(corpus.articles(spark, d), tree, ["article_id", "year", "magazine"], {"links": ["place", "author"]}, links, ["year:desc", "article_id"], 30)
+    return page.withColumn("links", F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["place"], x["author"])), ","))

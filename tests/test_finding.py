@@ -139,3 +139,16 @@ def test_page_sizes(spark):
             filters.page_after(df, wrong)
     with pytest.raises(ValueError):
         filters.page_after(df, ["id"], 5, (1, 2))
+
+
+def test_pages_with_relations(spark):
+    """Fields and related rows of a page, empty arrays included; unknown names are refused."""
+    df = spark.createDataFrame(ROWS, "id long, name string, n int, k int")
+    links = {"links": filters.Relation(spark.createDataFrame(LINKS, "of long, author string, place int"), "of", "id")}
+    got = filters.found(df, {"k": {"$gt": 2}}, ["name"], {"links": ["place", "author"]}, links, ["id:desc"], 9).collect()
+    rows = sorted((r for r in ROWS if r[3] > 2), reverse=True)[:9]
+    want = [(r[1], sorted((p, a) for i, a, p in LINKS if i == r[0])) for r in rows]
+    assert sorted((str(r["name"]), [tuple(x) for x in r["links"]]) for r in got) == sorted((str(n), x) for n, x in want) and any(not x for _, x in want)
+    for wrong in (dict(fields=["x"]), dict(populate={"x": ["y"]}), dict(order=["x"])):
+        with pytest.raises(ValueError):
+            filters.found(df, relations=links, **wrong)
