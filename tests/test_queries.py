@@ -5,7 +5,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quirefold.plans import archive, composed, finding, index, reports  # noqa: F401 - they register their queries
+from quirefold.plans import archive, composed, finding, index, reports, values  # noqa: F401 - they register their queries
 from quirefold.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"

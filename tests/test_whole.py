@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quirefold.functions import values as V
-from quirefold.plans import archive, composed, finding, index, reports  # noqa: F401 - they register their queries
+from quirefold.plans import archive, composed, finding, index, reports, values  # noqa: F401 - they register their queries
 from quirefold.plans.queries import QUERIES
 
 
