@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..sources import buckets
 
 #: Kinds of counts: texts of an author at all, texts with words in scope, and words with their followers.
 KNOWN, TEXTS, PAIR = "known", "texts", "pair"
@@ -42,8 +43,10 @@ def lexical_chains(counts: DataFrame, word: str, authors: list[str] = [], k: int
     A level has one row of part 'level' with its state, and if the word occurs there frequency, entropy of the successors
     in bits, its maximum, normalised value, reliability, label and difference to the corpus; and the ``k`` most frequent
     tokens of the parts 'successor' and 'predecessor' with rank, n, p (n by the word's frequency), for successors also
-    p_corpus (0 where missing) and deviation. Ties go by token. States: 'ok', 'absent' (the word), 'no texts' (none with
-    words in scope) and 'unknown' (author of no text). The counts are read once."""
+    p_corpus (0 where missing) and deviation. Ties go by token. States of levels: 'ok', 'absent' (the word), 'no texts' (none with
+    words in scope) and 'unknown' (author of no text). The counts are read once.
+
+    Entropies come from sums, as in lexis.entropy(): s / t * log2(t) - sum(n * log2(n)) / t."""
     spark = counts.sparkSession
     asked = spark.createDataFrame([(a, "asked", None, None, 0) for a in [None, *dict.fromkeys(authors)]], "author string, kind string, word string, successor string, n long")
     wanted = F.col("author").isNull() | F.col("author").isin(*authors) if authors else F.col("author").isNull()
@@ -52,28 +55,34 @@ def lexical_chains(counts: DataFrame, word: str, authors: list[str] = [], k: int
     role = lambda name, token, when: F.when(when, F.struct(F.lit(name).alias("part"), token.alias("token")))
     pair, none = F.col("kind") == PAIR, F.lit(None).cast("string")
     roles = F.array_compact(F.array(role("successor", F.col("successor"), pair & (F.col("word") == word)), role("predecessor", F.col("word"), pair & (F.col("successor") == word)), role("level", none, F.col("kind") == "asked"), role("count", none, F.col("kind").isin(KNOWN, TEXTS))))
-    rows = rows.select("author", "kind", "n", F.explode(roles).alias("r")).select("author", "kind", "n", "r.*")
-    level, following = Window.partitionBy("author"), (F.col("part") == "successor") & F.col("token").isNotNull()
-    total = lambda when, value=F.col("n"): F.sum(F.when(when, value).otherwise(0)).over(level)
-    rows = rows.withColumns({"frequency": total(F.col("part") == "successor"), "followers": total(following, F.lit(1)), "texts": total(F.col("kind") == TEXTS), "known": total(F.col("kind") == KNOWN)})
-    rows = rows.where("part != 'count'").withColumn("p", F.when(F.col("part") != "level", F.col("n") / F.col("frequency")))
-    rows = rows.withColumn("entropy", -F.sum(F.when(following, F.col("p") * F.log2("p")).otherwise(0.0)).over(level) + 0.0)
-    rows = rows.where("part = 'level' or token is not null")
-    alike = Window.partitionBy("part", "token")
-    rows = rows.withColumn("p_corpus", F.when(following, F.coalesce(F.max(F.when(F.col("author").isNull(), F.col("p"))).over(alike), F.lit(0.0))))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("author", "part").orderBy(F.desc("n"), "token"))).where(F.col("rank") <= k)
-    # What is left are 2k + 1 rows a level, so one window over all of them is small.
-    rows = rows.withColumn("entropy_corpus", F.max(F.when(F.col("author").isNull(), F.col("entropy"))).over(Window.partitionBy(F.lit(0))))
-    state = F.when(F.col("author").isNotNull() & (F.col("known") == 0), "unknown").when(F.col("author").isNotNull() & (F.col("texts") == 0), "no texts").when(F.col("frequency") == 0, "absent").otherwise("ok")
-    top = F.log2(F.col("followers").cast("double"))
-    is_level = F.col("part") == "level"
-    told = lambda c: F.when(is_level & (F.col("state") == "ok"), c)
+    # The word's own rows are few and used several times, so they are written once.
+    rows = buckets.written(rows.select("author", "kind", "n", F.explode(roles).alias("r")).select("author", "kind", "n", "r.*"), "chain")
+    n, following = F.col("n"), (F.col("part") == "successor") & F.col("token").isNotNull()
+    total = lambda when, value=n: F.coalesce(F.sum(F.when(when, value)), F.lit(0))
+    # Sums by level are reduced before they are shuffled, however many tokens follow the word.
+    stats = rows.groupBy("author").agg(total(F.col("part") == "successor").alias("frequency"), F.count(F.when(following, 1)).alias("followers"), total(F.col("kind") == TEXTS).alias("texts"), total(F.col("kind") == KNOWN).alias("known"),
+                                       total(following).alias("__s"), total(following, n * F.log2("n")).alias("__h"))
+    stats = stats.withColumn("entropy", F.when(F.col("frequency") > 0, F.greatest(F.lit(0.0), F.col("__s") / F.col("frequency") * F.log2("frequency") - F.col("__h") / F.col("frequency"))))
+    stats = stats.select(F.col("author").alias("__author"), "frequency", "followers", "texts", "known", "entropy")
+    whole = stats.where("__author is null").select(F.col("frequency").alias("frequency_corpus"), F.col("entropy").alias("entropy_corpus"))
+    stats = stats.crossJoin(F.broadcast(whole))
+
+    held = rows.where("part in ('successor', 'predecessor') and token is not null")
+    held = held.withColumn("n_corpus", F.max(F.when(F.col("author").isNull(), n)).over(Window.partitionBy("part", "token")))
+    held = held.withColumn("rank", F.row_number().over(Window.partitionBy("author", "part").orderBy(F.desc("n"), "token"))).where(F.col("rank") <= k)
+    held = held.join(F.broadcast(stats), F.col("author").eqNullSafe(F.col("__author")))
+    p, p_corpus = F.try_divide(n, F.col("frequency")), F.when(F.col("part") == "successor", F.coalesce(F.try_divide("n_corpus", "frequency_corpus"), F.lit(0.0)))
+    held = held.select("author", "part", "rank", "token", "n", p.alias("p"), p_corpus.alias("p_corpus"), (p - p_corpus).alias("deviation"))
+
+    own = F.col("author").isNotNull()
+    state = F.when(own & (F.col("known") == 0), "unknown").when(own & (F.col("texts") == 0), "no texts").when(F.col("frequency") == 0, "absent").otherwise("ok")
+    top, reliable = F.when(F.col("followers") > 0, F.log2(F.col("followers").cast("double"))).otherwise(0.0), F.col("frequency") >= 5
     norm = F.when(top > 0, F.col("entropy") / top).otherwise(0.0)
-    reliable = F.col("frequency") >= 5
-    return rows.withColumn("state", state).select(
-        "author", "part", F.when(~is_level, F.col("rank")).alias("rank"), "token", F.when(~is_level, F.col("n")).alias("n"), "p", "p_corpus", (F.col("p") - F.col("p_corpus")).alias("deviation"),
-        F.when(is_level, F.col("state")).alias("state"), F.when(is_level, F.col("frequency")).alias("frequency"), told(F.col("entropy")).alias("entropy"), told(F.coalesce(F.when(F.col("followers") > 0, top), F.lit(0.0))).alias("entropy_max"),
-        told(norm).alias("entropy_norm"), told(reliable).alias("reliable"), told(V.entropy_label(norm, reliable)).alias("label"), told(F.when(F.col("author").isNotNull(), F.col("entropy") - F.col("entropy_corpus"))).alias("entropy_difference"))
+    told = lambda c: F.when(F.col("state") == "ok", c)
+    levels = stats.withColumnRenamed("__author", "author").withColumn("state", state).select(
+        "author", F.lit("level").alias("part"), "state", "frequency", told(F.col("entropy")).alias("entropy"), told(top).alias("entropy_max"), told(norm).alias("entropy_norm"), told(reliable).alias("reliable"),
+        told(V.entropy_label(norm, reliable)).alias("label"), told(F.when(own, F.col("entropy") - F.col("entropy_corpus"))).alias("entropy_difference"))
+    return held.unionByName(levels, allowMissingColumns=True)
 
 
 def changed_counts(old: DataFrame, new: DataFrame, **more) -> DataFrame:

@@ -50,10 +50,13 @@ class Scope:
         return df
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The article view over documents and labels."""
+def articles(spark: SparkSession, sf_dir: str, flags: bool = True) -> DataFrame:
+    """The article view over documents and labels.
+
+    Without ``flags`` labels are not read and is_advert and is_poem are null: beyond a broadcast the join would shuffle
+    every text."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    df = docs.join(labels, "doc_id", "left")
+    df = docs.join(labels, "doc_id", "left") if flags else docs.select("*", F.lit(None).cast("int").alias("toxic"), F.lit(None).cast("int").alias("quality"))
     return df.select(
         F.col("doc_id").alias("article_id"), F.left("text", F.lit(60)).alias("title"), F.col("text").alias("body"), F.col("lang").alias("language"),
         F.col("source").alias("magazine"), F.when(F.col("doc_id") % 41 != 0, (F.lit(1900) + F.col("doc_id") % 37).cast("int")).alias("year"),

@@ -10,7 +10,7 @@ ASKED = ", ".join(f"('{a}')" for a in ["", *CHAIN_AUTHORS])
 
 
 def _corpus(spark, d):
-    return corpus.with_authors(corpus.articles(spark, d))
+    return corpus.with_authors(corpus.articles(spark, d, flags=False))
 
 
 @query(f"""with {ARTICLES}, {AUTHORS}, p as (select article_id, {PAIRS} as words from articles where language in ('fr', 'en')),
