@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from quirefold.llm import decontaminate, neardup, packing, pii, toxicity
-from quirefold.llm.common import restricted, table, written
+from quirefold.llm.common import restricted, spent, table, written
 from quirefold.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        # Once a stage is written, nothing reads the one before.
+        spent(*done)
+        done = [docs]
     return docs
