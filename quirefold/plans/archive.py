@@ -86,7 +86,7 @@ def ag28_author_deviation(spark, d):
 
 @query()
 def q08_root_search(spark, d):
-    return roots.root_search(Scope(languages=("es",)).apply(corpus.articles(spark, d)), "con")
+    return roots.root_search(Scope(languages=("es",)).apply(corpus.articles(spark, d, flags=False)), "con")
 
 
 @query(f"""with n as (select p_partkey as id_legacy, p_name as name, {KEY.format('p_name')} as k from part), o as (select k, min(id_legacy) as m from n where id_legacy % 3 <> 0 group by k)
@@ -136,4 +136,4 @@ def fn53_entropy_level(spark, d):
 
 @query(f"with {ARTICLES} select issue_order, count(*) as pages_known, cast(min(make_date(year, 1, 1)) as varchar) as first_year from articles where year is not null group by issue_order")
 def fn57_first_dates(spark, d):
-    return corpus.articles(spark, d).where("year is not null").groupBy("issue_order").agg(F.count("*").alias("pages_known"), F.min(V.year_date(F.col("year"))).cast("string").alias("first_year"))
+    return corpus.articles(spark, d, flags=False).where("year is not null").groupBy("issue_order").agg(F.count("*").alias("pages_known"), F.min(V.year_date(F.col("year"))).cast("string").alias("first_year"))

@@ -24,7 +24,7 @@ def _place(column, word):
 
 @query(f"with {ARTICLES}, h as (select article_id, body, {_place('body', 'que')} as spot from articles) select article_id, {_fragment('body', 'spot', 3, 50)} as fragment from h where spot > 0")
 def fn24_fragment(spark, d):
-    h = corpus.articles(spark, d).withColumn("at", F.instr(T.fold(F.coalesce("body", F.lit(""))), "que")).where("at > 0")
+    h = corpus.articles(spark, d, flags=False).withColumn("at", F.instr(T.fold(F.coalesce("body", F.lit(""))), "que")).where("at > 0")
     return h.select("article_id", fragments.single("body", F.col("at"), F.lit(3)).alias("fragment"))
 
 
@@ -49,7 +49,7 @@ def q02_style_words(spark, d):
 @query(f"""with d as ({SQL['q05_drift']}), e as (select author, count(*) as points, arg_max(z, year) - arg_min(z, year) as difference from d group by author)
   select author, points, case when points < 2 then 'Sin datos suficientes' when difference > 0.5 then 'Innovador (z-score creciente: el autor se aleja de la norma)' when difference < -0.3 then 'Convergente (z-score decreciente: el autor se acerca a la norma)' else 'Estable (variación inferior a 0,3σ)' end as trend from e""")
 def q05_trend(spark, d):
-    a = Scope(languages=("es", "fr")).apply(corpus.articles(spark, d))
+    a = Scope(languages=("es", "fr")).apply(corpus.articles(spark, d, flags=False))
     points = vectors.drift(a, corpus.authors(spark, d)).select("author", "year", F.round("z", 4).alias("z"))
     return vectors.trend(points)
 
@@ -58,7 +58,7 @@ def q05_trend(spark, d):
   r as (select count(distinct author) as reference from a where year is not null and len(words) > 0)
   select author, articles, reference, case when articles < 3 then 'Este autor tiene solo ' || articles || ' prosas publicado(s); los resultados pueden ser poco fiables.' end as warning from n, r""")
 def ag20_author_counts(spark, d):
-    a = Scope(languages=("es", "fr"), magazine="src1").apply(corpus.articles(spark, d)).join(corpus.authors(spark, d), "article_id")
+    a = Scope(languages=("es", "fr"), magazine="src1").apply(corpus.articles(spark, d, flags=False)).join(corpus.authors(spark, d), "article_id")
     told = a.where(F.col("year").isNotNull() & (F.size(T.tokens(F.col("body"))) > 0)).agg(F.countDistinct("author").alias("reference"))
     counts = a.groupBy("author").agg(F.count("*").alias("articles"))
     return counts.crossJoin(F.broadcast(told)).select("author", "articles", "reference", V.author_warning(F.col("articles"), "prosas").alias("warning"))
@@ -72,13 +72,13 @@ def ag31_trends_by_year(spark, d):
 
 @query(f"with {ARTICLES}, themes as (select doc_id as article_id, 't' || (doc_id % 9) as theme from documents union select doc_id, 't' || (doc_id % 5) from documents where doc_id % 4 = 0) select magazine, count(*) as n from articles where article_id in (select article_id from themes where theme in ('t1', 't4')) group by magazine")
 def jn05_themes(spark, d):
-    a = Scope(themes=("t1", "t4")).apply(corpus.articles(spark, d), themes=corpus.themes(spark, d))
+    a = Scope(themes=("t1", "t4")).apply(corpus.articles(spark, d, flags=False), themes=corpus.themes(spark, d))
     return a.groupBy("magazine").agg(F.count("*").alias("n"))
 
 
 @query(f"with {ARTICLES} select article_id, title from articles where article_id in (3, 5, 8) union all select article_id, title from articles where false")
 def pf13_id_lists(spark, d):
-    a = corpus.articles(spark, d)
+    a = corpus.articles(spark, d, flags=False)
     return Scope(ids=(3, 5, 8)).apply(a).union(Scope(ids=()).apply(a)).select("article_id", "title")
 
 

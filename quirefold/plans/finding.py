@@ -14,7 +14,7 @@ SCOPES = ["title", "authors", "body", "captions"]
 
 def _articles(spark, d):
     """Articles with their authors' names, one a line, and captions."""
-    a = corpus.with_authors(corpus.articles(spark, d))
+    a = corpus.with_authors(corpus.articles(spark, d, flags=False))
     captions = article.captions(F.expr(HTML.replace("doc_id", "article_id").format("body")))
     return a.withColumns({"authors": F.array_join("authors", "\n"), "captions": captions})
 
@@ -100,13 +100,13 @@ SORTED = "year desc nulls last, magazine nulls first, article_id"
 @query(f"with {ARTICLES}, o as (select year, magazine, article_id, row_number() over (order by {SORTED}) as n, count(*) over () as total from articles) select cast(ceil(n / 40.0) as int) as page, total, year, magazine, article_id from o where n % 40 = 0 or n = total")
 def sc16_page_bounds(spark, d):
     """Where each page of all articles ends, by year, magazine and id, and how many articles there are."""
-    return filters.page_bounds(corpus.articles(spark, d), ORDER, 40).select("page", "total", "bound.*")
+    return filters.page_bounds(corpus.articles(spark, d, flags=False), ORDER, 40).select("page", "total", "bound.*")
 
 
 @query(f"with {ARTICLES} select article_id, year, magazine from articles order by {SORTED} limit 40 offset 80")
 def sc16_keyset_page(spark, d):
     """The third page, from the bound of the second on."""
-    a = corpus.articles(spark, d).select("article_id", "year", "magazine")
+    a = corpus.articles(spark, d, flags=False).select("article_id", "year", "magazine")
     bound = filters.page_bounds(a, ORDER, 40).where("page = 2").first()
     return filters.page_after(a, ORDER, 40, tuple(bound["bound"]) if bound else None)
 
@@ -117,5 +117,5 @@ def sc04_document_page(spark, d):
     """A page of articles that have a second author, with all their authors in order."""
     links = {"links": filters.Relation(corpus.authors(spark, d), "article_id", "article_id")}
     tree = {"language": ["es", "fr"], "links": {"place": 2}}
-    page = filters.found(corpus.articles(spark, d), tree, ["article_id", "year", "magazine"], {"links": ["place", "author"]}, links, ["year:desc", "article_id"], 30)
+    page = filters.found(corpus.articles(spark, d, flags=False), tree, ["article_id", "year", "magazine"], {"links": ["place", "author"]}, links, ["year:desc", "article_id"], 30)
     return page.withColumn("links", F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["place"], x["author"])), ","))

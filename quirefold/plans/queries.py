@@ -44,7 +44,7 @@ def q04_word_cloud_magazine(spark, d):
 
 @query(f"with {ARTICLES}, {AUTHORS} select token, count(*) as n from (select unnest({WORDS}) as token from articles where language in ('es', 'fr') and article_id in (select article_id from authors where author = 'a3')) where not regexp_full_match(token, '\\p{{N}}+') group by token order by n desc, token limit 150")
 def q03_word_cloud_author(spark, d):
-    return lexis.word_cloud(Scope(languages=("es", "fr"), author="a3").apply(corpus.articles(spark, d), corpus.authors(spark, d)))
+    return lexis.word_cloud(Scope(languages=("es", "fr"), author="a3").apply(corpus.articles(spark, d, flags=False), corpus.authors(spark, d)))
 
 
 HITS = f"{ARTICLES}, hits as (select *, {COUNT.format(c='body', w='que')} + {COUNT.format(c='title', w='que')} as n, {NWORDS} as n_words from articles where language in ('es', 'fr') and not coalesce(is_advert, false))"
@@ -84,7 +84,7 @@ TFIDF2 = f"""{ARTICLES}, {AUTHORS}, tok as (select 1 as side, unnest({WORDS}) as
 
 
 def _style(spark, d):
-    a, who = corpus.articles(spark, d), corpus.authors(spark, d)
+    a, who = corpus.articles(spark, d, flags=False), corpus.authors(spark, d)
     return vectors.stylometry(Scope(author="a1").apply(a, who), Scope(author="a2").apply(a, who))
 
 
@@ -105,7 +105,7 @@ def ag14_tfidf(spark, d):
   e as (select author, year, 1 - sum(weight * c) / (sqrt(sum(weight * weight)) * max(cn)) as distance from w join m using (token), x group by author, year), st as (select avg(distance) as mean, stddev_pop(distance) as std from e)
   select author, year, round(distance, 6) as distance, round((distance - mean) / std, 4) as z from e, st""")
 def q05_drift(spark, d):
-    a = Scope(languages=("es", "fr")).apply(corpus.articles(spark, d))
+    a = Scope(languages=("es", "fr")).apply(corpus.articles(spark, d, flags=False))
     return vectors.drift(a, corpus.authors(spark, d)).select("author", "year", F.round("distance", 6).alias("distance"), F.round("z", 4).alias("z"))
 
 
@@ -113,7 +113,7 @@ CHAIN = f"{ARTICLES}, p as (select article_id, {PAIRS} as words from articles wh
 
 
 def _pairs(spark, d):
-    return lexis.pair_words(Scope(languages=("fr", "en")).apply(corpus.articles(spark, d)))
+    return lexis.pair_words(Scope(languages=("fr", "en")).apply(corpus.articles(spark, d, flags=False)))
 
 
 @query(f"with {CHAIN} select word, successor, n from bi")
@@ -182,7 +182,7 @@ def q24_semantic(spark, d):
   b as (select article_id, unnest(list_filter(range(len(ws)), lambda i: ws[i + 1] = '{PAIR_WORDS[1]}')) as b from w), m as (select article_id, min({{'separation': abs(a - b), 'a': a, 'b': b}}) as m from a join b using (article_id) where abs(a - b) <= 5 group by article_id)
   select article_id, m.separation, m.a, m.b from m""")
 def q08_nearest_pair(spark, d):
-    return lexis.nearest_pair(corpus.articles(spark, d), *PAIR_WORDS, 5)
+    return lexis.nearest_pair(corpus.articles(spark, d, flags=False), *PAIR_WORDS, 5)
 
 
 @query("select page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br\\s*/?>|</p>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', '''') as body from pages")

@@ -50,7 +50,7 @@ def q01_response(spark, d):
   select cast(to_json({{'revistas': (select list({{'revista': magazine, 'total': cast(total as bigint), 'numeros': issues}} order by total desc, magazine nulls first) from g)}}) as varchar) as response""")
 def fn74_nested_response(spark, d):
     """Magazines with their issues, two levels of one JSON text, nulls written."""
-    issues = corpus.articles(spark, d).groupBy("magazine", "issue_order").agg(F.count("*").alias("n"), F.min("year").alias("first"))
+    issues = corpus.articles(spark, d, flags=False).groupBy("magazine", "issue_order").agg(F.count("*").alias("n"), F.min("year").alias("first"))
     inner = responses.grouped(issues, ["magazine"], [("issue_order", False)], {"orden": "issue_order", "articulos": "n", "primero": "first"}, "numeros")
     total = issues.groupBy("magazine").agg(F.sum("n").cast("long").alias("total"))
     both = inner.join(total, inner["magazine"].eqNullSafe(total["magazine"])).select(inner["magazine"].alias("revista"), "total", "numeros")

@@ -30,7 +30,7 @@ PAIR = "substring(body, {0}, 3)"
   select article_id, trim({SQUASH.format('substring(body, greatest(1, f - 50), f - greatest(1, f - 50))')} || ' **' || {PAIR.format('f')} || '** ' || {SQUASH.format('substring(body, f + 3, greatest(0, s - f - 3))')} || ' **' || {PAIR.format('s')} || '** ' || {SQUASH.format('substring(body, s + 3, 50)')}, ' ') as fragment from q""")
 def fn25_pair_fragment(spark, d):
     place = lambda w: F.instr(T.fold(F.coalesce("body", F.lit(""))), w)
-    a = corpus.articles(spark, d).withColumns({"a": place("que"), "b": place("con")}).where("a > 0 and b > 0")
+    a = corpus.articles(spark, d, flags=False).withColumns({"a": place("que"), "b": place("con")}).where("a > 0 and b > 0")
     return a.select("article_id", fragments.pair("body", F.col("a"), F.lit(3), F.col("b"), F.lit(3)).alias("fragment"))
 
 
