@@ -10,9 +10,14 @@ BLOCK = 1 << 16
 CANDIDATES = 4_000_000
 
 
-def trigrams(c) -> Column:
-    """Distinct runs of three signs, in no order; shorter texts have none."""
-    return F.expr(f"case when length({c}) >= 3 then array_distinct(transform(sequence(1, length({c}) - 2), i -> substring({c}, i, 3))) end")
+def trigrams(c: str) -> Column:
+    """Distinct runs of three signs of a column, in no order; shorter texts have none.
+
+    The text is cut into pieces of about the root of its length, as finding a place in a text means going to it."""
+    width = f"greatest(64, cast(sqrt(length({c})) as int))"
+    piece = "transform(sequence(1, length(p) - 2), i -> substring(p, i, 3))"
+    pieces = f"transform(sequence(1, length({c}) - 2, {width}), at -> transform(array(substring({c}, at, {width} + 2)), p -> {piece})[0])"
+    return F.expr(f"case when length({c}) >= 3 then array_distinct(flatten({pieces})) end")
 
 
 def folded(articles: DataFrame, columns: list[str], key: str = "article_id") -> DataFrame:
@@ -24,13 +29,10 @@ def folded(articles: DataFrame, columns: list[str], key: str = "article_id") ->
 def write(articles: DataFrame, path: str, columns: list[str], key: str = "article_id", buckets: int = 64) -> None:
     """Write posting lists (scope, trigram, block, ids) of the columns' folded texts; keys are whole numbers, null ones are left out.
 
-    The texts are cut into trigrams where they lie, by pieces of about the root of their length, so a long text costs no
-    square of it. A list holds ascending ids of one block, so a trigram that every article has is many short lists."""
-    pieces = folded(articles, columns, key).where("id is not null and length(text) >= 3").withColumn("width", F.expr("greatest(64, cast(sqrt(length(text)) as int))"))
-    pieces = pieces.select("id", "scope", "width", "text", F.explode(F.expr("sequence(1, length(text) - 2, width)")).alias("at"))
-    pieces = pieces.select("id", "scope", F.expr("substring(text, at, width + 2)").alias("piece"))
-    found = pieces.select("id", "scope", F.explode(trigrams("piece")).alias("trigram")).distinct()
-    lists = found.groupBy("scope", "trigram", F.floor(F.col("id") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    A text gives each of its trigrams once before anything is shuffled. A list holds ascending ids of one block, so a trigram that every article has is many short lists."""
+    found = folded(articles, columns, key).where("id is not null and length(text) >= 3").select("id", "scope", F.explode_outer(trigrams("text")).alias("trigram"))
+    ids = F.sort_array(F.array_distinct(F.collect_list("id")))
+    lists = found.groupBy("scope", "trigram", F.floor(F.col("id") / BLOCK).alias("block")).agg(ids.alias("ids"))
     lists = lists.withColumns({"n": F.size("ids"), "bucket": F.pmod(F.xxhash64("trigram"), F.lit(buckets)).cast("int")})
     lists.repartition("bucket").sortWithinPartitions("bucket", "trigram").write.partitionBy("bucket").parquet(path)
     articles.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}-told")
