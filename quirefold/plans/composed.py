@@ -54,11 +54,11 @@ def q05_trend(spark, d):
     return vectors.trend(points)
 
 
-@query(f"""with {ARTICLES}, {AUTHORS}, a as (select author, year, {WORDS} as words from articles join authors using (article_id) where language in ('es', 'fr') and magazine = 'src1'), n as (select author, count(*) as articles from a group by author),
+@query(f"""with {ARTICLES}, {AUTHORS}, a as (select author, year, {WORDS} as words from articles join authors using (article_id) where language in ('es', 'fr')), n as (select author, count(*) as articles from a group by author),
   r as (select count(distinct author) as reference from a where year is not null and len(words) > 0)
   select author, articles, reference, case when articles < 3 then 'Este autor tiene solo ' || articles || ' prosas publicado(s); los resultados pueden ser poco fiables.' end as warning from n, r""")
 def ag20_author_counts(spark, d):
-    a = Scope(languages=("es", "fr"), magazine="src1").apply(corpus.articles(spark, d, flags=False)).join(corpus.authors(spark, d), "article_id")
+    a = Scope(languages=("es", "fr")).apply(corpus.articles(spark, d, flags=False)).join(corpus.authors(spark, d), "article_id")
     told = a.where(F.col("year").isNotNull() & (F.size(T.tokens(F.col("body"))) > 0)).agg(F.countDistinct("author").alias("reference"))
     counts = a.groupBy("author").agg(F.count("*").alias("articles"))
     return counts.crossJoin(F.broadcast(told)).select("author", "articles", "reference", V.author_warning(F.col("articles"), "prosas").alias("warning"))

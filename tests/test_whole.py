@@ -58,3 +58,12 @@ def test_entropy_all_words(spark, tmp_path):
     assert got == {"edge": (27, True), "rare": (1, False)}
     below = spark.range(1).select(V.entropy_label(F.lit(0.5 - 1e-12), F.lit(True)).alias("x"))
     assert below.first()["x"] == "variado"
+
+
+def test_author_counts_all_magazines(spark, tmp_path):
+    """Articles of every magazine, and of none, count."""
+    docs = pd.DataFrame({"doc_id": [24, 47, 70, 93, 25], "text": "uno dos", "lang": ["es", "fr", "es", "en", "fr"], "source": ["src1", "src2", None, "src1", "src3"]})
+    few = "Este autor tiene solo {} prosas publicado(s); los resultados pueden ser poco fiables."
+    want = [("a0", 1, 4, few.format(1)), ("a1", 3, 4, None), ("a2", 1, 4, few.format(1)), ("a4", 1, 4, few.format(1))]
+    labels = pd.DataFrame({"doc_id": [24], "quality": [1], "toxic": [0]})
+    assert rows(spark, tmp_path, "ag20_author_counts", documents=docs, labels=labels) == want
