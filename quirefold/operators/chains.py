@@ -1,5 +1,8 @@
 """Word-pair index of a corpus and its authors, and lexical chains of a word at both levels from one pass."""
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -8,6 +11,8 @@ from ..sources import buckets
 
 #: Kinds of counts: texts of an author at all, texts with words in scope, and words with their followers.
 KNOWN, TEXTS, PAIR = "known", "texts", "pair"
+#: Buckets of a written index: an entry's rows of all batches lie in one, so they are added up without a shuffle.
+BUCKETS = 256
 
 
 def pair_counts(articles: DataFrame, scope: Column | None = None, authors: list[str] | None = None, word: str | None = None) -> DataFrame:
@@ -91,3 +96,52 @@ def changed_counts(old: DataFrame, new: DataFrame, **more) -> DataFrame:
     An article that only one side has is inserted or deleted."""
     both = pair_counts(new, **more).unionByName(pair_counts(old, **more).withColumn("n", -F.col("n")))
     return both.groupBy("author", "kind", "word", "successor").agg(F.sum("n").alias("n")).where("n != 0")
+
+
+def entries(articles: DataFrame, scope: Column | None = None) -> DataFrame:
+    """owners, entry of articles(body, authors: array): what pair_counts() counts, but each text's rows once, with all its authors.
+
+    An entry is 'word successor', 'word' where it ends the text, or '#known' or '#texts'; words hold neither space nor '#'."""
+    own = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("authors", F.array().cast("array<string>")))))
+    words = F.when(F.coalesce(scope, F.lit(False)), T.pair_tokens(F.col("body"))) if scope is not None else T.pair_tokens(F.col("body"))
+    df = articles.select(own.alias("owners"), F.explode(F.array(F.coalesce(words, F.array().cast("array<string>")))).alias("words"))
+    pairs = F.expr("transform(words, (w, i) -> concat_ws(' ', w, get(words, i + 1)))")
+    marks = F.when(F.size("words") > 0, F.array(F.lit(f"#{KNOWN}"), F.lit(f"#{TEXTS}"))).otherwise(F.array(F.lit(f"#{KNOWN}")))
+    return df.select("owners", F.explode(F.concat(marks, pairs)).alias("entry"))
+
+
+def open_index(spark: SparkSession, path: str) -> str:
+    """Name of the table of an index folder; one that is new, or that another session wrote, is made known to this one."""
+    name = "pairs_" + hashlib.sha256(path.encode()).hexdigest()[:32]
+    if not spark.catalog.tableExists(name):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        spark.sql(f"create table {name} (owners array<string>, entry string, n long, batch string) using parquet partitioned by (batch) clustered by (entry) into {BUCKETS} buckets location '{path}'")
+        spark.sql(f"msck repair table {name}")
+    return name
+
+
+def add_batch(path: str, batch: str, after: DataFrame, before: DataFrame | None = None, scope: Column | None = None) -> None:
+    """Add a batch to an index folder: the counts of the articles ``after``, less those of the same articles ``before``.
+
+    The signed counts alone are shuffled and written, however large the index is. A batch has a folder of its own, so a
+    repeat writes the same folder anew and adds nothing twice."""
+    if not re.fullmatch(r"[\w-]+", batch):
+        raise ValueError("a batch is named by letters, digits, _ and -")
+    spark = after.sparkSession
+    name = open_index(spark, path)
+    rows = entries(after, scope).withColumn("n", F.lit(1))
+    if before is not None:
+        rows = rows.union(entries(before, scope).withColumn("n", F.lit(-1)))
+    # Dealt by entry as the table's buckets are, so counting and writing need no further shuffle.
+    counts = rows.repartition(BUCKETS, "entry").groupBy("owners", "entry").agg(F.sum("n").alias("n")).where("n != 0")
+    spark.sql(f"insert overwrite table {name} partition (batch = '{batch}') select owners, entry, n from {{counts}}", counts=counts)
+
+
+def indexed_counts(spark: SparkSession, path: str, author: str | None = None) -> DataFrame:
+    """kind, word, successor, n of the corpus, or of an author, over all batches of an index folder, as pair_counts() has them."""
+    rows = spark.table(open_index(spark, path))
+    rows = rows if author is None else rows.where(F.array_contains("owners", author))
+    counts = rows.groupBy("entry").agg(F.sum("n").alias("n")).where("n != 0")
+    mark, word = F.startswith("entry", F.lit("#")), F.split("entry", " ")
+    return counts.select(F.when(mark, F.substring("entry", 2, 10)).otherwise(PAIR).alias("kind"), F.when(~mark, F.get(word, F.lit(0))).alias("word"), F.when(~mark, F.get(word, F.lit(1))).alias("successor"), "n")

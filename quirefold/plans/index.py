@@ -40,15 +40,14 @@ EDITED, DELETED, INSERTED = "article_id % 10 = 3", "article_id % 50 = 7", "artic
 @query(f"""with {ARTICLES}, now as (select article_id, language, case when {EDITED} then 'the edited text ' || coalesce(body, '') else body end as body from articles where not {DELETED}),
   p as (select {PAIRS} as words from now where language in ('fr', 'en')), b as (select unnest(list_zip(words, list_concat(words[2:], [null]))) as x from p where len(words) > 0) select x[1] as word, x[2] as successor, count(*) as n from b group by all""")
 def q27_index_update(spark, d):
-    """The written index of the articles before, after the signed counts of the changed ones have been merged into it."""
+    """The written index of the articles before, after the signed counts of the changed ones have been added to it as a batch."""
     scope = F.col("language").isin("fr", "en")
     before = _corpus(spark, d).where(f"not {INSERTED}")
     path = buckets.scratch(spark, "pairs")
-    buckets.create(chains.pair_counts(before, scope), path, ["author", "kind", "word", "successor"])
+    chains.add_batch(path, "first", before, scope=scope)
     after = _corpus(spark, d).where(f"not {DELETED}").withColumn("body", F.when(F.expr(EDITED), F.concat(F.lit("the edited text "), F.coalesce("body", F.lit("")))).otherwise(F.col("body")))
-    delta = chains.changed_counts(before.where(f"{EDITED} or {DELETED}"), after.where(f"{EDITED} or {INSERTED}"), scope=scope)
-    buckets.apply(path, delta, "edits", add="n")
-    return buckets.read(spark, path).where((F.col("kind") == chains.PAIR) & F.col("author").isNull()).select("word", "successor", "n")
+    chains.add_batch(path, "edits", after.where(f"{EDITED} or {INSERTED}"), before.where(f"{EDITED} or {DELETED}"), scope)
+    return chains.indexed_counts(spark, path).where(F.col("kind") == chains.PAIR).select("word", "successor", "n")
 
 
 # Orders with returned lines get the sum of their lines as price and a new status; some keys are new, some go.

@@ -115,6 +115,39 @@ def test_index_follows_random_edits(spark, tmp_path):
     assert buckets.read(spark, path).isEmpty() and set(buckets.applied(spark, path)) == {"b0", "b1", "b2", "all"}
 
 
+def test_written_index_follows_batches(spark, tmp_path):
+    """Corpus and authors after each batch equal counts made anew; a repeated batch adds nothing, and another session finds the index."""
+    rng = random.Random(4)
+    rows, scope, path = {r[0]: r for r in corpus(rng, range(40))}, F.col("language") == "es", str(tmp_path / "pairs")
+
+    def same():
+        want = plain_counts(rows.values())
+        for a in (None, "a", "b", "c", "nobody"):
+            got = {(r["kind"], r["word"], r["successor"]): r["n"] for r in chains.indexed_counts(spark, path, a).collect()}
+            assert got == {k[1:]: n for k, n in want.items() if k[0] == a}
+    chains.add_batch(path, "first", articles(spark, list(rows.values())), scope=scope)
+    same()
+    for batch in range(2):
+        gone = rng.sample(sorted(rows), 4)
+        new = {r[0]: r for r in corpus(rng, [*rng.sample([i for i in rows if i not in gone], 5), 1000 + batch])}
+        old = [rows[i] for i in rows if i in gone or i in new]
+        for _ in range(2):
+            chains.add_batch(path, f"b-{batch}", articles(spark, list(new.values())), articles(spark, old), scope)
+        rows = {i: r for i, r in (rows | new).items() if i not in gone}
+        same()
+    spark.sql(f"drop table {chains.open_index(spark, path)}")
+    same()
+    with pytest.raises(ValueError):
+        chains.add_batch(path, "b'", articles(spark, []))
+
+
+def test_index_update_reshuffles_no_index(spark, monkeypatch):
+    """An update shuffles the changed articles alone, and reading the index adds up its batches where they lie."""
+    monkeypatch.setattr(chains, "BUCKETS", 4)
+    plan = QUERIES["q27_index_update"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+
+
 ROWS = [(1, "a", 10), (2, None, 20), (3, "c", None), (None, "n", 1)]
 TABLE = "id long, name string, n int"
 
