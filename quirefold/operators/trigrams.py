@@ -1,40 +1,75 @@
 """Substring search by an index: posting lists of trigrams, intersected from the rarest on, then confirmed on the folded text."""
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# Worker code travels with the job, so executors need no copy of this library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Articles whose ids may meet in one list: ids of a list lie in one block of so many numbers.
 BLOCK = 1 << 16
+#: Entries of posting lists that a task makes at a time.
+LISTED = 1 << 20
 #: Candidates up to which their counted list is broadcast; beyond that both sides are shuffled.
 CANDIDATES = 4_000_000
 
 
-def trigrams(c: str) -> Column:
-    """Distinct runs of three signs of a column, in no order; shorter texts have none.
-
-    The text is cut into pieces of about the root of its length, as finding a place in a text means going to it."""
-    width = f"greatest(64, cast(sqrt(length({c})) as int))"
-    piece = "transform(sequence(1, length(p) - 2), i -> substring(p, i, 3))"
-    pieces = f"transform(sequence(1, length({c}) - 2, {width}), at -> transform(array(substring({c}, at, {width} + 2)), p -> {piece})[0])"
-    return F.expr(f"case when length({c}) >= 3 then array_distinct(flatten({pieces})) end")
-
-
 def folded(articles: DataFrame, columns: list[str], key: str = "article_id") -> DataFrame:
     """key, scope (a column's name), text: the folded text of each column."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("scope"), T.fold(F.coalesce(F.col(c), F.lit(""))).alias("text")) for c in columns)))
     return articles.select(F.col(key).alias("id"), each.alias("s")).select("id", "s.scope", "s.text")
 
 
+def _grouped(scope: str, ids: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
+    """Posting lists of some texts of a scope."""
+    each, gram = np.repeat(np.array(ids, np.int64), [len(g) for g in grams]), np.concatenate(grams)
+    order = np.lexsort((each, gram))
+    each, gram = each[order], gram[order]
+    block = each // BLOCK
+    starts = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])
+    first = gram[starts]
+    signs = np.stack([first >> 42, first >> 21 & 0x1FFFFF, first & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(each)], pa.int32()), pa.array(each))
+    return pa.RecordBatch.from_arrays([pa.array([scope] * len(starts)), pa.array([signs[i:i + 3] for i in range(0, len(signs), 3)]), pa.array(block[starts]), lists], ["scope", "trigram", "block", "ids"])
+
+
+def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """scope, trigram, block, ids of batches of id, scope, text: lists of LISTED entries or so at a time.
+
+    A trigram is held as a number of three code points, and a text's are made distinct by pieces of LISTED signs."""
+    held, size = {}, 0
+    for batch in batches:
+        for key, scope, text in zip(batch["id"].to_pylist(), batch["scope"].to_pylist(), batch["text"]):
+            signs = np.frombuffer(text.as_py().encode("utf-32-le"), "<u4").astype(np.int64)
+            for at in range(0, len(signs) - 2, LISTED):
+                c = signs[at:at + LISTED + 2]
+                ids, grams = held.setdefault(scope, ([], []))
+                ids.append(key)
+                grams.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+                size += len(grams[-1])
+                if size >= LISTED:
+                    yield from (_grouped(s, *x) for s, x in held.items())
+                    held, size = {}, 0
+    yield from (_grouped(s, *x) for s, x in held.items())
+
+
 def write(articles: DataFrame, path: str, columns: list[str], key: str = "article_id", buckets: int = 64) -> None:
     """Write posting lists (scope, trigram, block, ids) of the columns' folded texts; keys are whole numbers, null ones are left out.
 
-    A text gives each of its trigrams once before anything is shuffled. A list holds ascending ids of one block, so a trigram that every article has is many short lists."""
-    found = folded(articles, columns, key).where("id is not null and length(text) >= 3").select("id", "scope", F.explode_outer(trigrams("text")).alias("trigram"))
-    ids = F.sort_array(F.array_distinct(F.collect_list("id")))
-    lists = found.groupBy("scope", "trigram", F.floor(F.col("id") / BLOCK).alias("block")).agg(ids.alias("ids"))
-    lists = lists.withColumns({"n": F.size("ids"), "bucket": F.pmod(F.xxhash64("trigram"), F.lit(buckets)).cast("int")})
-    lists.repartition("bucket").sortWithinPartitions("bucket", "trigram").write.partitionBy("bucket").parquet(path)
+    Lists of many texts are made before anything is shuffled, and dealt to their buckets once. A list holds ascending ids of one block, so a trigram that every article has is many short lists."""
+    texts = folded(articles, columns, key).where("id is not null and length(text) >= 3").select(F.col("id").cast("long"), "scope", "text")
+    some = texts.mapInArrow(posting_lists, "scope string, trigram string, block long, ids array<long>")
+    some = some.withColumn("bucket", F.pmod(F.xxhash64("trigram"), F.lit(buckets)).cast("int")).repartition("bucket")
+    ids = F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids"))))
+    lists = some.groupBy("bucket", "trigram", "scope", "block").agg(ids.alias("ids")).select("scope", "trigram", "block", "ids", F.size("ids").alias("n"), "bucket")
+    lists.sortWithinPartitions("bucket", "trigram").write.partitionBy("bucket").parquet(path)
     articles.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}-told")
 
 
