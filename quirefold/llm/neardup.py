@@ -187,13 +187,43 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "rep long, shingles array<long>")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each id to the smallest that these links alone reach, in place of the links a, b."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    low = np.arange(len(ids))
+    while (low[x] != low[y]).any():
+        least = np.minimum(low[x], low[y])
+        np.minimum.at(low, low[x], least)
+        np.minimum.at(low, low[y], least)
+        while (low[low] != low).any():
+            low = low[low]
+    moved = low != np.arange(len(ids))
+    return ids[moved], ids[low[moved]]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """u, v: links that connect what links(a, b) connect, with as many as a task holds at a time (an Arrow batch) made stars."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest(*(batch.column(c).to_numpy() for c in "ab"))], names=["u", "v"])
+    return links.select("a", "b").where("a != b").mapInArrow(run, "u long, v long")
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether in edges(u, v) each u has one v, and none of these is a u."""
+    ends = edges.select(F.col("u").alias("id"), "v").union(edges.select("v", F.lit(None).cast("long")))
+    ids = ends.groupBy("id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), (F.count("*") > F.count("v")).alias("low"))
+    return not ids.agg(F.max(F.expr("lo is not null and (lo != hi or low)"))).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for ids in links(a, b): large-star and small-star rounds until nothing changes.
+    """(id, component) for ids in links(a, b): large-star and small-star rounds until all are stars.
 
-    Each round joins every id to its smallest neighbour; an id with very many neighbours is dealt over shares."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    before = None
-    while True:
+    Tasks first contract what they hold, which leaves few rounds or none. Each round joins every id to its smallest
+    neighbour; an id with very many neighbours is dealt over shares."""
+    edges = written(contracted(links).distinct(), "edges")
+    while not are_stars(edges):
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
         large = meet(both, low.drop("n"), "u", low.select("u", "n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -202,10 +232,7 @@ def components(links: DataFrame) -> DataFrame:
         after = written(small, "edges")
         spent(edges)
         edges = after
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 def ids_of(pairs: DataFrame) -> DataFrame:
@@ -338,7 +365,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         extra = confirmed(more, restricted(sets, named, "rep"), percent)
         spent(sets, rare, mixed, more, named)
         if not extra.isEmpty():
-            comp = components(links.union(extra))
+            comp = components(comp.select(F.col("component").alias("a"), F.col("id").alias("b")).union(extra))
     spent(met, buckets, reps, opened)
     roots = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("root"))
     held = table.select("doc_id", F.col("n").alias("n_shingles"), "key")

@@ -8,6 +8,7 @@ import sys
 import pytest
 
 from quirefold.llm import media, neardup, packing, pii, urls
+from quirefold.llm.common import written
 from quirefold.llm.queries import RULES
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -127,3 +128,23 @@ def test_exchanges_empty_bins():
         first = packing.greedy(dict(counts), 40)
         saved += sum(m for _, m in first) - sum(m for _, m in packing.improve(first, 40))
     assert saved >= 3
+
+
+def test_components_with_few_rounds(spark, monkeypatch):
+    """Links equal a plain union-find's groups; links that lie together take no round, so plans and tasks stay few."""
+    made = []
+    monkeypatch.setattr(neardup, "written", lambda df, name: made.append(name) or written(df, name))
+    rng = random.Random(3)
+    cases = {"path": [(i, i + 1) for i in range(1, 400)], "copies": [(7, i) for i in range(8, 3000)] + [(9, i) for i in range(10, 3000, 7)],
+             "random": [(rng.randrange(900), rng.randrange(900)) for _ in range(500)], "none": []}
+    for name, links in cases.items():
+        low = {i: i for p in links for i in p}
+        while any(low[a] != low[b] for a, b in links):
+            for a, b in links:
+                low[a] = low[b] = min(low[a], low[b])
+        for parts in (1, 5):
+            made.clear()
+            got = neardup.components(spark.createDataFrame(links, "a long, b long").repartition(parts)).collect()
+            assert len(got) == len({r["id"] for r in got})
+            assert {r["id"]: r["component"] for r in got} | {i: i for i in low if low[i] == i} == low, (name, parts)
+            assert parts > 1 or made == ["edges"], (name, made)
